@@ -17,10 +17,10 @@ Time is the rank of the merge.  50,000 states with up to 50,000 arcs each don't
 in memory as a full table, so an arc is worked out from the gadgets when it is first
 asked for and then kept in the transition table.
 
-A word is encoded by running the automaton over its bytes: at each position stands
-the token that ends there on an accepted path, and there is only one, since BPE
-makes one sequence of every prefix.  Words that come again are read from a bounded
-table.  Decoding emits the arc labels: the bytes of each token.
+A word is encoded by running the automaton over its bytes, longest arc first and
+back where no arc leads on.  Each position has one accepted path, since BPE makes one
+sequence of every prefix, so none is looked at twice.  Words that come again are read
+from a bounded table.  Decoding emits the arc labels: the bytes of each token.
 
 Texts are split into words by the pattern of the vocabulary; its added tokens are
 cut out first, as the tokenizers library does.
@@ -42,14 +42,17 @@ from pyspark.sql import DataFrame, SparkSession
 from cellarium.llm.common import bounded_batches, documents, worker_cache
 
 #: Words whose tokens a worker keeps; and arcs of its transition table.
-KEPT_WORDS = 200_000
-KEPT_ARCS = 1_000_000
+KEPT_WORDS = 250_000
+KEPT_ARCS = 500_000
 #: Longer words are not kept.
 KEPT_LENGTH = 64
 
 #: Fixed value: the pattern by which the byte-level pre-tokenizer splits.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: A space or line feed beside other white space, or a line feed at an end; such texts are split by the pattern alone.
+BY_WHITE = regex.compile(r"[ \n][\s\x1c-\x1f]|[\s\x1c-\x1f][ \n]|^\n|\n$", regex.V0)
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -87,7 +90,10 @@ class Automaton:
         self.cut = regex.compile("|".join(map(regex.escape, self.added))) if added else None
         self.words = regex.compile(PATTERN)
         self.arcs: dict[int, bool] = {}
+        self.token = {label: i for label, i in self.token.items() if self._sound(i)}
         self.kept: dict[str, str] = {}
+        self.first: dict[str, str] = {}
+        self.after_space: dict[str, str] = {}
 
     def has_arc(self, t: int, u: int) -> bool:
         """Whether state t has an arc for token u after the last gadget."""
@@ -121,28 +127,33 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         n = len(word)
-        whole = self.token.get(word)
-        if n == 1:
-            return [whole]
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
         token, has_arc, longest = self.token, self.has_arc, self.longest
-        for end in range(1, n + 1):
-            # The longest first: it is right most often, and only one is.
-            for start in range(max(0, end - longest), end):
-                before = last[start]
-                if start and before < 0:
-                    continue
-                u = token.get(word[start:end])
-                if u is not None and self.sound(u) and (start == 0 or has_arc(before, u)):
-                    last[end], begin[end] = u, start
+        whole = token.get(word)
+        if whole is not None:
+            return [whole]
+        # The path of the automaton, longest arcs first.  A position is reached on one path only, so
+        # one from which the end can't be reached is dead whatever comes before it.
+        path: list[int] = []
+        ends = [0]
+        dead = bytearray(n + 1)
+        at, stop = 0, min(n, longest)
+        while at < n:
+            for end in range(stop, at, -1):
+                u = token.get(word[at:end])
+                if u is not None and not dead[end] and (not path or has_arc(path[-1], u)):
+                    path.append(u)
+                    ends.append(end)
+                    at, stop = end, min(n, end + longest)
                     break
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = begin[at]
-        return out[::-1]
-
-    def sound(self, u: int) -> bool:
+            else:
+                dead[at] = 1
+                stop = at - 1
+                path.pop()
+                ends.pop()
+                at = ends[-1]
+        return path
+
+    def _sound(self, u: int) -> bool:
         """Whether any state ever gets an arc for u: its parts could follow each other when it was made."""
         parts = self.parts.get(u)
         if parts is None:
@@ -150,8 +161,7 @@ class Automaton:
         key = -1 - u
         found = self.arcs.get(key)
         if found is None:
-            r = self.rank[u]
-            found = self.arcs[key] = self.sound(parts[0]) and self.sound(parts[1]) and self._arc_before(*parts, r)
+            found = self.arcs[key] = self._sound(parts[0]) and self._sound(parts[1]) and self._arc_before(*parts, self.rank[u])
         return found
 
     def encode(self, text: str) -> list[str]:
@@ -166,24 +176,46 @@ class Automaton:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
-        words = self.words.findall(text)
-        kept = self.kept
-        try:
-            return [kept[w] for w in words]
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            ids = kept.get(w)
-            if ids is None:
-                ids = ",".join(map(str, self.encode_word(w.encode())))
-                if len(w) <= KEPT_LENGTH:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[w] = ids
-            out.append(ids)
+        """A single space or line feed between other characters always begins a word, or is one; text is cut there first."""
+        if BY_WHITE.search(text):
+            return self._words(text)
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                out.append(self._kept_word("\n"))
+            pieces = line.split(" ")
+            if pieces[0]:
+                out.append(self._chunk(pieces[0], self.first, ""))
+            known = self.after_space
+            try:
+                out += [known[x] for x in pieces[1:]]
+            except KeyError:
+                out += [self._chunk(x, known, " ") for x in pieces[1:]]
         return out
 
+    def _chunk(self, piece: str, kept: dict[str, str], before: str) -> str:
+        ids = kept.get(piece)
+        if ids is None:
+            ids = ",".join(self._words(before + piece))
+            if len(piece) <= KEPT_LENGTH:
+                if len(kept) >= KEPT_WORDS:
+                    kept.clear()
+                kept[piece] = ids
+        return ids
+
+    def _words(self, text: str) -> list[str]:
+        return [self._kept_word(w) for w in self.words.findall(text)]
+
+    def _kept_word(self, word: str) -> str:
+        ids = self.kept.get(word)
+        if ids is None:
+            ids = ",".join(map(str, self.encode_word(word.encode())))
+            if len(word) <= KEPT_LENGTH:
+                if len(self.kept) >= KEPT_WORDS:
+                    self.kept.clear()
+                self.kept[word] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
 
