@@ -74,12 +74,13 @@ class DigestIndex:
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """digest, doc_id, length (code points of the original) and tag (a number of the row) of every row, written once."""
+    """digest, doc_id, length (code points of the original), key (a hash of the original) and tag (a number of the row) of every row, written once."""
     return written(
         docs.select(
             F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("digest"),
             F.col(doc_id).cast("long").alias("doc_id"),
             F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("length"),
+            F.xxhash64(F.col(text)).alias("key"),
             F.monotonically_increasing_id().alias("tag"),
         ),
         "digests",
@@ -87,7 +88,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and key.
 
     ``kept`` is true for the one row of a group that stays, and never for a
     group that an earlier batch brought.
@@ -103,11 +104,30 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_
         "group_size",
         ((F.col("batch") == mark) & (F.col("tag") == F.col("keep_tag"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
+        "key",
     )
 
 
+def keep_first(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns they came with.
+
+    Rows are found again by doc_id and a hash of the text.  Where several rows have
+    both in common and one of them stays, the surplus is dropped by comparing them.
+    """
+    rows = written(dedup(docs, index, doc_id, text), "dedup-marks")
+    same = [F.col(doc_id).cast("long").eqNullSafe(F.col("_d")), F.xxhash64(F.col(text)) == F.col("_k")]
+    gone = rows.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"))
+    gone = written(gone.filter(~F.col("_any") | (F.col("_n") > 1)), "dedup-gone")
+    stay = docs.join(gone.select("_d", "_k"), same, "left_anti")
+    again = gone.filter("_any")
+    if again.isEmpty():
+        return stay
+    surplus = docs.join(again.select("_d", "_k"), same, "left_semi").dropDuplicates([doc_id, text])
+    return stay.unionByName(surplus)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir))
+    return dedup(documents(spark, sf_dir)).drop("key")
 
 
 QUERIES = {"op5_exact_dedup": op5_exact_dedup}

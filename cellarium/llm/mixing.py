@@ -62,15 +62,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return full.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, and tag (``row``, or a number of the row)."""
+def mix(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per document: doc_id, key (a hash of the text), source, size, source_size, target, copies, taken."""
     sizes = written(
         docs.select(
             F.col(doc_id).alias("doc_id"),
+            F.xxhash64(F.col(text)).alias("key"),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
             unit(F.col(doc_id), F.xxhash64(text), F.lit(seed)).alias("u"),
-            (F.monotonically_increasing_id() if row is None else row).alias("tag"),
+            F.monotonically_increasing_id().alias("tag"),
         ),
         "mix-sizes",
     )
@@ -105,7 +106,22 @@ def mix(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "
     inside = inside.withColumn("extra", F.when(F.col("_end") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).drop("_end")
     outside = marked.filter(~F.coalesce(at_line, F.lit(False))).withColumn("extra", sure)
     out = outside.unionByName(inside).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "tag")
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with the columns they came with.
+
+    Rows are looked up by doc_id, text hash and source.  Rows that have these in common share their copies evenly; what is left over goes to all
+    or none, whichever is nearer.
+    """
+    taken = written(mix(docs, seed, doc_id, text, source).select("doc_id", "key", "source", "copies"), "mix-copies")
+    per = taken.groupBy("doc_id", "key", "source").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+    per = per.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s"), "_copies")
+    same = [F.col(doc_id).eqNullSafe(F.col("_d")), F.xxhash64(F.col(text)) == F.col("_k"), F.col(source).eqNullSafe(F.col("_s"))]
+    found = docs.join(per, same)
+    again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return found.filter("_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], again.alias("_copy")).drop("_copy")
 
 
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
