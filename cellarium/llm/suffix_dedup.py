@@ -306,8 +306,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     runs = leaves.mapInArrow(_leaves, "grp bigint, ctx bigint, first int, last int")
     crowded = texts.filter(F.col("size") > GROUP_LIMIT).select("grp", "ctx", "bytes").dropDuplicates(["grp", "ctx"])
     windows = crowded.mapInArrow(_window_hashes, "grp bigint, ctx bigint, place int, one bigint, two bigint")
-    same = windows.groupBy("grp", "place", "one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    more = windows.join(same.drop("n"), ["grp", "place", "one", "two"]).select("grp", "ctx", F.col("place").alias("first"), F.col("place").alias("last"))
+    same = windows.groupBy("grp", "one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    more = windows.join(same.drop("n"), ["grp", "one", "two"]).select("grp", "ctx", F.col("place").alias("first"), F.col("place").alias("last"))
     runs = written(runs.unionByName(more), "repeated-windows")
 
     # A context that occurs twice repeats whole; of the others the marked windows do.
