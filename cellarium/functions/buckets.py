@@ -1,0 +1,32 @@
+"""Buckets of a sortable column, alike in every plan that uses them."""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: The most buckets: their bounds become one expression.
+MOST = 512
+
+
+def bounds(df: DataFrame, column: str, parts: int) -> list[Any]:
+    """Values that cut the column into about equal parts, at most MOST; taken from approximate quantiles."""
+    parts = max(1, min(parts, MOST))
+    if parts == 1:
+        return []
+    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * parts).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or []))
+
+
+def bucket_of(column: Column, cuts: list[Any]) -> Column:
+    """The number of cuts that are not after the value, found by halving; NULL falls in bucket 0."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(column >= F.lit(cuts[mid]), search(mid + 1, high)).otherwise(search(low, mid))
+
+    return search(0, len(cuts)).cast("int")
