@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellarium.functions import codec
 from cellarium.functions.comparators import Binary, BinaryPrefix, Bit, Op, Regex, Substring
-from cellarium.operators import aggregate, cells, hooks, indexes, jobs, mutations, ranges, scan, versions
+from cellarium.operators import aggregate, cell_ranges, cells, hooks, indexes, jobs, mutations, ranges, scan, versions
 from cellarium.operators.cells import FamilySpec, TableSpec
 from cellarium.operators.scan import ScanSpec, Table
 from cellarium.plans import filters as A
@@ -17,6 +17,7 @@ from cellarium.plans import text as filter_text
 from cellarium.plans.compiler import filter_cells, filter_typed
 from cellarium.sources import delimited, transfer
 from cellarium.sources.records import read_table
+from cellarium.streaming import edits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -792,3 +793,39 @@ def _(s, d):
         codec.compact_date(F.col("o_orderdate")).alias("day"),
         codec.starts_with(F.col("o_orderpriority"), F.lit("1")).alias("urgent"),
     )
+
+
+# ---- range queries on cells, index maintenance, streams ------------------------------------------
+
+
+@register("range_cells_dnf", f"WITH {PT} SELECT rowkey, family, qualifier, value FROM pc WHERE rowkey IN (SELECT rowkey FROM pt WHERE (p_brand >= 'Brand#2' AND p_brand < 'Brand#4' AND p_type = 'PROMO') OR p_name = 'red widget')")
+def _(s, d):
+    r, c = ranges.Range, cell_ranges.CellRange
+    dnf = [[c("d", r("p_brand", ((">=", "Brand#2"), ("<", "Brand#4")))), c("d", r("p_type", (("=", "PROMO"),)))], [c("d", r("p_name", (("=", "red widget"),)))]]
+    return cell_ranges.range_scan(parts_table(s, d), dnf).select(*CELL)
+
+
+@register("range_cells_time", f"WITH {EV}, c AS (SELECT * FROM ev WHERE qualifier <> 'click' OR ts BETWEEN 100 AND 600) SELECT rowkey, family, qualifier, max(ts) AS ts FROM c WHERE rowkey IN (SELECT rowkey FROM c WHERE qualifier = 'click' GROUP BY rowkey HAVING arg_max(value, ts) >= '5') GROUP BY rowkey, family, qualifier")
+def _(s, d):
+    r = cell_ranges.CellRange("e", ranges.Range("click", ((">=", "5"),)), 100, 600)
+    return cell_ranges.range_scan(events_table(s, d), [[r]]).select("rowkey", "family", "qualifier", "ts")
+
+
+@register("index_maintained", "SELECT CASE WHEN o_orderkey % 20 = 1 THEN 7.5 ELSE o_totalprice END AS o_totalprice, o_orderkey FROM orders WHERE o_orderkey % 20 <> 2")
+def _(s, d):
+    base = orders(s, d)
+    spec = indexes.IndexSpec("o_totalprice")
+    changed = base.filter("o_orderkey % 20 = 1").withColumn("o_totalprice", F.lit(7.5))
+    return indexes.maintain(indexes.build(base, spec, "o_orderkey"), changed, base.filter("o_orderkey % 20 = 2"), spec, "o_orderkey")
+
+
+@register("stream_latest", f"WITH {EV} SELECT rowkey, family, qualifier, max(ts) AS ts, arg_max(value, ts) AS value FROM ev GROUP BY rowkey, family, qualifier")
+def _(s, d):
+    schema = read_table(s, d, "events").schema
+    source = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    value = F.round(F.col("value") * 100).cast("long").cast("string")
+    stream = cells.as_cells(source, codec.integer_key(F.col("user_id"), 8), F.lit("e"), F.col("event_type"), F.col("event_id"), value)
+    name = "stream_latest_values"
+    q = edits.latest_values(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name).select(*VERSION)

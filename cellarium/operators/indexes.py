@@ -229,3 +229,18 @@ def write_clustered(df: DataFrame, path: str, column: str, key: str) -> DataFram
     build(df, IndexSpec(column, "clustered"), key).write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
     spark: SparkSession = df.sparkSession
     return spark.read.parquet(path)
+
+
+def maintain(index: DataFrame, changed: DataFrame, deleted: DataFrame, spec: IndexSpec, key: str) -> DataFrame:
+    """The index after rows were written (``changed``: whole new rows) and deleted (``deleted``: keys).
+
+    Entries of either are dropped, and those of the written rows made anew.  A key that is written with
+    several values at once is an error.
+    """
+    touched = changed.select(key).unionByName(deleted.select(key)).distinct()
+    columns = [c for c in index.columns if c != key]
+    several = F.count_distinct(spec.column) > 1
+    checked = changed.groupBy(key).agg(*[F.any_value(c).alias(c) for c in columns if c != spec.column], F.any_value(spec.column).alias("_v"), several.alias("_several"))
+    value = F.when(F.col("_several"), F.raise_error(F.lit(f"several values of {spec.column} for one key"))).otherwise(F.col("_v"))
+    fresh = checked.withColumn(spec.column, value.cast(index.schema[spec.column].dataType)).filter(F.col(spec.column).isNotNull())
+    return index.join(touched, key, "left_anti").select(*index.columns).unionByName(fresh.select(*index.columns))
