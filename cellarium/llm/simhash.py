@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import bounded_batches, documents, written
+from cellarium.llm.common import bounded_batches, documents, packed, written
 from cellarium.llm.components import stars
 
 #: Fixed values of the contract: words in a shingle, hash seed, differing bits.
@@ -264,7 +264,8 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, doc
 def near_dedup(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the smallest document."""
     gone = near_classes(docs, size, radius, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_k")), "left_anti")
+    rows = packed(docs, d=F.col(doc_id), k=F.xxhash64(F.col(text)))
+    return rows.join(gone, F.col("d").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")), "left_anti").select("row.*")
 
 
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:

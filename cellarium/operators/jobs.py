@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cellarium.operators.scan import column_choice, key_range
 
@@ -21,23 +22,24 @@ def row_counter(cells: DataFrame, columns: Sequence[str] = (), start: str = "",
 def cell_counter(cells: DataFrame, separator: str = ":") -> DataFrame:
     """(name, n): totals of rows, families and qualifiers across rows; rows of each family and column; versions of each cell.
 
-    One aggregation gives the versions of each (row, family, qualifier); all else is summed from it.
+    One aggregation gives the versions of each (row, family, qualifier).  The first column of a row, and of a
+    family in it, stand for the row and the family; every column then gives its share of the names it counts for.
     """
     versions = cells.groupBy("rowkey", "family", "qualifier").agg(F.count(F.lit(1)).alias("n"))
     column = F.concat("family", F.lit(separator), "qualifier")
-    families = versions.select("rowkey", "family").distinct()
-    parts = [
-        families.agg(F.lit("Total ROWS").alias("name"), F.count_distinct("rowkey").alias("n")),
-        families.agg(F.lit("Total Families Across all Rows").alias("name"), F.count(F.lit(1)).alias("n")),
-        versions.agg(F.lit("Total Qualifiers across all Rows").alias("name"), F.count(F.lit(1)).alias("n")),
-        families.groupBy(F.col("family").alias("name")).agg(F.count(F.lit(1)).alias("n")),
-        versions.groupBy(column.alias("name")).agg(F.count(F.lit(1)).alias("n")),
-        versions.select(F.concat("rowkey", F.lit(separator), column, F.lit("_Versions")).alias("name"), "n"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    order = Window.partitionBy("rowkey").orderBy("family", "qualifier")
+    marked = versions.withColumn("place", F.row_number().over(order)).withColumn("before", F.lag("family").over(order))
+    opens_family = F.col("before").isNull() | (F.col("before") != F.col("family"))
+    one = F.lit(1).cast("long")
+    shares = F.array(
+        F.when(F.col("place") == 1, F.struct(F.lit("Total ROWS").alias("name"), one.alias("n"))),
+        F.when(opens_family, F.struct(F.lit("Total Families Across all Rows").alias("name"), one.alias("n"))),
+        F.struct(F.lit("Total Qualifiers across all Rows").alias("name"), one.alias("n")),
+        F.when(opens_family, F.struct(F.col("family").alias("name"), one.alias("n"))),
+        F.struct(column.alias("name"), one.alias("n")),
+        F.struct(F.concat("rowkey", F.lit(separator), column, F.lit("_Versions")).alias("name"), F.col("n")),
+    )
+    return marked.select(F.explode(F.array_compact(shares)).alias("s")).groupBy("s.name").agg(F.sum("s.n").alias("n"))
 
 
 def group_key(df: DataFrame, columns: Sequence[str], name: str = "group_key") -> DataFrame:

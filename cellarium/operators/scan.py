@@ -92,6 +92,9 @@ class Table:
             # Tombstones of the family stay for the resolution.
             rows = rows.filter(column_choice(spec.columns) | ((F.col("type") == 14) & F.col("family").isin([c.split(":")[0] for c in spec.columns])))
         f = filter_text.parse(spec.filter) if isinstance(spec.filter, str) else spec.filter
+        if not spec.raw and (spec.batch is not None or (self.tombstones and _decides_rows(f))):
+            # One shuffle by row serves the windows over columns and over rows.
+            rows = rows.repartition("rowkey")
         policy = ReadPolicy(spec.max_versions, spec.time_min, spec.time_max, spec.now, spec.raw)
         apply_filter = (lambda cells: filter_cells(cells, f)) if f is not None else None
         out = resolve(rows, policy, self.families, self.default, self.tombstones, self.ties, apply_filter)

@@ -77,10 +77,14 @@ def masked_by_tombstones(cells: DataFrame, policy: ReadPolicy, families: dict[st
     return marked.filter(visible).drop("_family", "_column", "_version")
 
 
-def last_written(cells: DataFrame) -> DataFrame:
-    """One cell for each coordinate and time: the one written last."""
-    order = Window.partitionBy("rowkey", "family", "qualifier", "ts", "type").orderBy(F.desc("seq"))
-    return cells.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+def last_written(puts: DataFrame) -> DataFrame:
+    """One put for each coordinate and time: the one written last.
+
+    Its window has the partitions and the order of the version count, so both share one sort.
+    """
+    order = Window.partitionBy("rowkey", "family", "qualifier").orderBy(F.desc("ts"), F.desc("seq"))
+    newer = F.lag("ts").over(order)
+    return puts.withColumn("_newer", newer).filter(F.col("_newer").isNull() | (F.col("_newer") != F.col("ts"))).drop("_newer")
 
 
 def resolve(

@@ -7,7 +7,7 @@ ROWS = [
     (1, "a b", "x"), (2, "ab", "x"), (3, "a  b", "x"), (3, "a  b", "x"), (4, None, "y"), (5, " \t\n", "y"), (6, "", "y"), (7, "a\u00a0b", "z"),
     (8, "unique", "z"), (None, "null id", "z"), (9, "null id", "z"), (10, "word " * 50000, "w"), (11, "word" * 50000, "w"),
 ]
-SCHEMA = "doc_id long, text string, kept string"
+SCHEMA = "doc_id long, text string, _d string"
 
 
 def brute(rows):

@@ -23,7 +23,7 @@ def targets(sizes):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target int")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, _copies string, _k int")
 
 
 def rows_of(seed, n=600):

@@ -7,7 +7,7 @@ import xxhash
 from cellarium.llm import simhash as H
 from cellarium.llm.components import stars
 
-SCHEMA = "doc_id long, text string, fp string, key string"
+SCHEMA = "doc_id long, text string, _d string, row string"
 
 
 def slow_fingerprint(text, size=3):
