@@ -56,6 +56,29 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``row`` (all columns as one) and the named columns: a join can't meet clashing names then."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+#: A key with more than one row in so many is hot.  There are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: str | list[str], total: int, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each hot key, without gathering hot keys.
+
+    The rows of hot keys (fewer than HOT_SHARE keys, whatever the input) meet a broadcast of their part of
+    the table where they are; all others are dealt by key.  ``counts`` has the keys with the ``count`` of their rows.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    counts = rows.groupBy(*keys).count() if counts is None else counts
+    hot = counts.filter(F.col("count") > max(1, total // HOT_SHARE)).select(*keys)
+    some = table.join(F.broadcast(hot), keys, "left_semi")
+    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys)
+    return rows.join(F.broadcast(some), keys).unionByName(rest)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
