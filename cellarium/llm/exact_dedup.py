@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import WHITE, documents, new_path, written
+from cellarium.llm.common import WHITE, documents, join_by_key, new_path, packed, written
 
 INDEX_SCHEMA = "digest string, keep_id bigint, keep_tag bigint, group_size bigint, batch string"
 
@@ -47,15 +47,16 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, batch: DataFrame) -> str:
+    def append(self, batch: DataFrame) -> tuple[str, DataFrame]:
         """Deduplicate ``batch`` (digest, doc_id, length, tag) against the index and itself; add what is new.
 
-        Returns the name the new entries carry.  A document whose digest an
+        Returns the name the new entries carry, and the batch's groups.  A document whose digest an
         earlier batch brought is a duplicate of that batch's row.
         """
         mark = uuid.uuid4().hex
         best = F.min(F.struct((-F.col("length")).alias("l"), F.col("doc_id").alias("id"), F.col("tag").alias("tag")))
-        groups = batch.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("group_size"))
+        # Written, else the optimizer joins before it groups, and all rows of a digest meet in one task.
+        groups = written(batch.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
         known = self.rows().select("digest").hint("merge")
         fresh = groups.join(known, "digest", "left_anti").select(
             "digest", F.col("b.id").alias("keep_id"), F.col("b.tag").alias("keep_tag"), "group_size", F.lit(mark).alias("batch")
@@ -70,7 +71,7 @@ class DigestIndex:
             .mode("append")
             .saveAsTable(self.name)
         )
-        return mark
+        return mark, groups
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,10 +96,9 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_
     """
     index = index or DigestIndex(docs.sparkSession)
     batch = digests(docs, doc_id, text)
-    mark = index.append(batch)
+    mark, groups = index.append(batch)
     entries = index.rows().select("digest", "keep_id", "keep_tag", "group_size", "batch")
-    # The plain join deals both sides anew, so that a digest of very many rows can be split.
-    return batch.join(entries.repartition("digest"), "digest").select(
+    return join_by_key(batch, entries, "digest", batch.count(), groups.withColumnRenamed("group_size", "count")).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -115,15 +115,16 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     both in common and one of them stays, the surplus is dropped by comparing them.
     """
     rows = written(dedup(docs, index, doc_id, text), "dedup-marks")
-    same = [F.col(doc_id).cast("long").eqNullSafe(F.col("_d")), F.xxhash64(F.col(text)) == F.col("_k")]
+    all_rows = packed(docs, d=F.col(doc_id).cast("long"), k=F.xxhash64(F.col(text)), t=F.col(text))
+    same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k"))
     gone = rows.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"))
     gone = written(gone.filter(~F.col("_any") | (F.col("_n") > 1)), "dedup-gone")
-    stay = docs.join(gone.select("_d", "_k"), same, "left_anti")
+    stay = all_rows.drop("t").join(gone.select("_d", "_k"), same, "left_anti").select("row.*")
     again = gone.filter("_any")
     if again.isEmpty():
         return stay
-    surplus = docs.join(again.select("_d", "_k"), same, "left_semi").dropDuplicates([doc_id, text])
-    return stay.unionByName(surplus)
+    surplus = all_rows.join(again.select("_d", "_k"), same, "left_semi").dropDuplicates(["d", "t"])
+    return stay.unionByName(surplus.select("row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
