@@ -37,8 +37,9 @@ UNKNOWN = "und"
 
 #: The margin at which the score is one half.
 HALF_MARGIN = 0.02
-#: A text whose margin is lower than this is rejected where rejection is asked for.
-LEAST_MARGIN = 0.005
+#: A text whose margin is lower than this is rejected where rejection is asked for; texts that mix two languages evenly lie
+#: just above it and stay.
+LEAST_MARGIN = 0.0005
 TELLING = 256
 
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
