@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.llm.common import WHITE, documents, unit, written
+from cellarium.llm.common import WHITE, documents, join_by_key, packed, unit, written
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -75,6 +75,7 @@ def mix(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "
         ),
         "mix-sizes",
     )
+    total = sizes.count()
     targets = written(source_targets(sizes), "mix-targets")
     rows = sizes.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     plan = targets.select(
@@ -85,18 +86,22 @@ def mix(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "
     )
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     chance = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
-    ranked = rows.join(plan, "_s").withColumn("_p", F.least(chance, F.lit(1 - 1e-9)))
+    counts = written(rows.groupBy("_s").count(), "mix-counts")
+    ranked = join_by_key(rows, plan, "_s", total, counts).withColumn("_p", F.least(chance, F.lit(1 - 1e-9)))
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("_p")) / F.col("_p"))
     ranked = ranked.withColumn("q", F.when(F.col("_p") > 0, odds))
     # q / (1 + q) lies between 0 and 1 and keeps the order.
     ranked = ranked.withColumn("bin", F.when(F.col("_p") > 0, F.floor(F.col("q") / (1 + F.col("q")) * BINS)).otherwise(BINS))
+    ranked = written(ranked, "mix-ranked")
 
     bins = ranked.filter("_p > 0").groupBy("_s", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("_s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.withColumn("end", F.sum("words").over(upto)).withColumn("begin", F.col("end") - F.col("words"))
     crossing = bins.filter("begin < rest AND end >= rest").select("_s", F.col("bin").alias("cross"), "begin")
-    crossing = crossing.groupBy("_s").agg(F.min_by("cross", "cross").alias("cross"), F.min_by("begin", "cross").alias("begin"))
-    marked = ranked.join(crossing, "_s", "left")
+    crossing = crossing.groupBy("_s").agg(F.min("cross").alias("cross"), F.min_by("begin", "cross").alias("begin"))
+    # A source that takes no copy in part has no bin that crosses the line.
+    crossing = written(plan.select("_s").join(crossing, "_s", "left"), "mix-lines")
+    marked = join_by_key(ranked, crossing, "_s", total, counts)
     sure = F.when(F.col("_p") <= 0, 0).when(F.col("cross").isNull() | (F.col("bin") < F.col("cross")), 1).otherwise(0)
     at_line = F.col("bin") == F.col("cross")
     inside = marked.filter(at_line)
@@ -118,10 +123,10 @@ def repeat_documents(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id",
     taken = written(mix(docs, seed, doc_id, text, source).select("doc_id", "key", "source", "copies"), "mix-copies")
     per = taken.groupBy("doc_id", "key", "source").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
     per = per.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s"), "_copies")
-    same = [F.col(doc_id).eqNullSafe(F.col("_d")), F.xxhash64(F.col(text)) == F.col("_k"), F.col(source).eqNullSafe(F.col("_s"))]
-    found = docs.join(per, same)
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return found.filter("_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], again.alias("_copy")).drop("_copy")
+    rows = packed(docs, d=F.col(doc_id), k=F.xxhash64(F.col(text)), s=F.col(source))
+    same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")) & F.col("s").eqNullSafe(F.col("_s"))
+    found = rows.join(per.filter("_copies > 0"), same)
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
