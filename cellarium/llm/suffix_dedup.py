@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import bounded_batches, documents, written
+from cellarium.llm.common import bounded_batches, documents, join_by_key, written
 
 LENGTH = 200
 GRAM = 64
@@ -292,13 +292,14 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key, first, last: ranges of the starts of repeated windows.  ``docs`` has doc_id, key, text."""
     found = written(anchors(docs), "anchors")
-    groups = found.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), (F.min("ctx") != F.max("ctx")).alias("several"))
-    repeated = written(found.join(groups.filter("n > 1").select("grp", "several"), "grp"), "repeated-anchors")
+    groups = found.groupBy("grp").agg(F.count(F.lit(1)).alias("count"), (F.min("ctx") != F.max("ctx")).alias("several"))
+    groups = written(groups.filter("count > 1"), "anchor-groups")
+    repeated = written(join_by_key(found, groups.select("grp", "several"), "grp", found.count(), groups), "repeated-anchors")
 
     contexts = repeated.filter("several").groupBy("grp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "low", "high")).alias("at"))
     contexts = written(contexts, "contexts")
-    crowds = contexts.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    wanted = contexts.join(crowds, "grp").select(
+    crowds = contexts.groupBy("grp").agg(F.count(F.lit(1)).alias("count")).withColumn("size", F.col("count"))
+    wanted = join_by_key(contexts, crowds.drop("count"), "grp", contexts.count(), crowds).select(
         F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"), F.struct("grp", "ctx", F.col("at.low").alias("low"), F.col("at.high").alias("high"), "size").alias("piece")
     )
     texts = written(_pieces(docs, wanted), "context-texts")
@@ -313,7 +314,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # A context that occurs twice repeats whole; of the others the marked windows do.
     whole = contexts.filter("n > 1").select("grp", "ctx", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
     partly = runs.join(contexts.filter("n = 1").select("grp", "ctx"), ["grp", "ctx"], "left_semi")
-    marked = repeated.filter("several").join(whole.unionByName(partly), ["grp", "ctx"])
+    marked = join_by_key(repeated.filter("several"), whole.unionByName(partly), ["grp", "ctx"], repeated.count(), contexts.withColumnRenamed("n", "count"))
     spans = marked.select("doc_id", "key", (F.col("low") + F.coalesce("first", F.lit(0))).alias("first"), F.coalesce(F.col("low") + F.col("last"), "high").alias("last"))
     alone = repeated.filter("NOT several").select("doc_id", "key", F.col("low").alias("first"), F.col("high").alias("last"))
     return spans.unionByName(alone)
