@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import written
+from cellarium.llm.common import join_by_key, written
 
 MOST_ROUNDS = 64
 
@@ -20,11 +20,13 @@ def stars(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     # An edge is kept as (larger, smaller).
     now = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a <> b").distinct()
     now, before = written(now, "stars"), None
+    edges_now = now.count()
     for _ in range(MOST_ROUNDS):
         both = now.select("a", "b").union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        # Large star: larger neighbours go to the smallest of all.
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("count"))
+        # Large star: larger neighbours go to the smallest of all.  The middle of a large star is a hot key.
+        met = join_by_key(both, least.select("a", "m"), "a", 2 * edges_now, least.select("a", "count"))
+        large = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # Small star: smaller neighbours, and the node itself, go to the smallest of them.
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a")
@@ -33,5 +35,5 @@ def stars(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = mark
+        before, edges_now = mark, mark[0]
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import bounded_batches, documents, packed, written
+from cellarium.llm.common import bounded_batches, documents, join_by_key, packed, written
 from cellarium.llm.components import stars
 
 #: Fixed values of the contract: words in a shingle, hash seed, differing bits.
@@ -224,8 +224,9 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = NODE_LIMIT) -> Data
             ]
         )
         entries = rows.select("fp", "parent", F.explode(deal).alias("n")).filter("n.of = parent").select("n.path", "n.pattern", "fp")
-        sizes = entries.groupBy("path", "pattern").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        entries = written(entries.join(sizes, ["path", "pattern"]), "nodes")
+        sizes = written(entries.groupBy("path", "pattern").count().filter("count > 1"), "node-sizes")
+        total = sizes.agg(F.sum("count")).first()[0] or 0
+        entries = written(join_by_key(entries, sizes.withColumnRenamed("count", "size"), ["path", "pattern"], total, sizes), "nodes")
         last = min((everything & ~mask).bit_count() for _, mask in level) <= OPEN_BITS
         leaves = entries if last else entries.filter(F.col("size") <= limit)
         dealt = leaves.select("path", "pattern", "fp", gray_rank(F.col("fp")).alias("rank")).repartition("path", "pattern")
