@@ -26,11 +26,11 @@ def make(spark, rows):
 def corpus(spark):
     """Two groups of rows, two families, four qualifiers; qualifier 1 and row 1 of each group are deleted."""
     rows = []
-    for group, value in (("One", "testValueOne"), ("Two", "testValueTwo")):
+    for group, value in (("A", "valA"), ("B", "valB")):
         for i in range(4):
-            for family in ("testFamilyOne", "testFamilyTwo"):
-                rows += [(f"testRow{group}-{i}", family, f"testQualifier{group}-{j}", 10, 4, value) for j in range(4)]
-                rows += [(f"testRow{group}-{i}", family, f"testQualifier{group}-{j}", 11, 12, None) for j in range(4) if j == 1 or i == 1]
+            for family in ("famA", "famB"):
+                rows += [(f"row{group}-{i}", family, f"col{group}-{j}", 10, 4, value) for j in range(4)]
+                rows += [(f"row{group}-{i}", family, f"col{group}-{j}", 11, 12, None) for j in range(4) if j == 1 or i == 1]
     return Table(make(spark, rows))
 
 
@@ -42,30 +42,30 @@ def size(df):
     ("f", "rows", "count"),
     [
         (None, 6, 36),
-        ("PrefixFilter('testRowOne')", 3, 18),
+        ("PrefixFilter('rowA')", 3, 18),
         ("PageFilter(3)", 3, 18),
-        ("InclusiveStopFilter('testRowOne-2')", 2, 12),
-        ("QualifierFilter(<, 'binary:testQualifierOne-2')", 3, 6),
-        ("QualifierFilter(!=, 'binary:testQualifierOne-2')", 6, 30),
-        ("FamilyFilter(=, 'binary:testFamilyOne')", 6, 18),
-        ("FamilyFilter(>, 'binary:testFamilyTwo')", 0, 0),
-        ("RowFilter(<=, 'binary:testRowOne-2')", 2, 12),
-        ("RowFilter(!=, 'binary:testRowOne-2')", 5, 30),
+        ("InclusiveStopFilter('rowA-2')", 2, 12),
+        ("QualifierFilter(<, 'binary:colA-2')", 3, 6),
+        ("QualifierFilter(!=, 'binary:colA-2')", 6, 30),
+        ("FamilyFilter(=, 'binary:famA')", 6, 18),
+        ("FamilyFilter(>, 'binary:famB')", 0, 0),
+        ("RowFilter(<=, 'binary:rowA-2')", 2, 12),
+        ("RowFilter(!=, 'binary:rowA-2')", 5, 30),
         ("RowFilter(=, 'regexstring:.+-2')", 2, 12),
-        ("ValueFilter(=, 'substring:VALUEone')", 3, 18),
-        ("SKIP QualifierFilter(!=, 'binary:testQualifierOne-2')", 3, 18),
-        ("WHILE PrefixFilter('testRowOne')", 3, 18),
-        ("WHILE QualifierFilter(!=, 'binary:testQualifierOne-3')", 1, 2),
+        ("ValueFilter(=, 'substring:VALa')", 3, 18),
+        ("SKIP QualifierFilter(!=, 'binary:colA-2')", 3, 18),
+        ("WHILE PrefixFilter('rowA')", 3, 18),
+        ("WHILE QualifierFilter(!=, 'binary:colA-3')", 1, 2),
         ("FirstKeyOnlyFilter()", 6, 6),
         ("ColumnPaginationFilter(5, 1)", 6, 30),
         ("ColumnPaginationFilter(10, 1)", 6, 30),
-        ("QualifierFilter(!=, 'binary:testQualifierOne-0') AND ColumnPaginationFilter(1, 0)", 6, 6),
-        ("PrefixFilter('testRowOne') OR ValueFilter(=, 'binary:testValueTwo')", 6, 36),
-        ("PrefixFilter('testRowOne') AND PageFilter(2)", 2, 12),
-        ("PrefixFilter('testRowTwo') AND FamilyFilter(=, 'binary:testFamilyTwo') OR RowFilter(=, 'binary:testRowOne-0')", 4, 15),
-        ("SingleColumnValueFilter('testFamilyOne', 'testQualifierOne-0', =, 'binary:testValueOne')", 6, 36),
-        ("SingleColumnValueFilter('testFamilyOne', 'testQualifierOne-0', =, 'binary:testValueOne', true, true)", 3, 18),
-        ("SingleColumnValueExcludeFilter('testFamilyOne', 'testQualifierOne-0', !=, 'binary:x', true, true)", 3, 15),
+        ("QualifierFilter(!=, 'binary:colA-0') AND ColumnPaginationFilter(1, 0)", 6, 6),
+        ("PrefixFilter('rowA') OR ValueFilter(=, 'binary:valB')", 6, 36),
+        ("PrefixFilter('rowA') AND PageFilter(2)", 2, 12),
+        ("PrefixFilter('rowB') AND FamilyFilter(=, 'binary:famB') OR RowFilter(=, 'binary:rowA-0')", 4, 15),
+        ("SingleColumnValueFilter('famA', 'colA-0', =, 'binary:valA')", 6, 36),
+        ("SingleColumnValueFilter('famA', 'colA-0', =, 'binary:valA', true, true)", 3, 18),
+        ("SingleColumnValueExcludeFilter('famA', 'colA-0', !=, 'binary:x', true, true)", 3, 15),
     ],
 )
 def test_corpus(corpus, f, rows, count):
@@ -74,11 +74,11 @@ def test_corpus(corpus, f, rows, count):
 
 def test_key_only(corpus):
     assert {r.value for r in corpus.scan(filter="KeyOnlyFilter()").collect()} == {""}
-    assert {r.value for r in corpus.scan(filter="KeyOnlyFilter(true)").collect()} == {"12"}
+    assert {r.value for r in corpus.scan(filter="KeyOnlyFilter(true)").collect()} == {"4"}
 
 
 def test_fuzzy_and_random_rows(corpus):
-    f = A.FuzzyRowFilter((("testRow???-2", (0,) * 7 + (1,) * 3 + (0, 0)),))
+    f = A.FuzzyRowFilter((("row?-2", (0, 0, 0, 1, 0, 0)),))
     assert size(corpus.scan(filter=f)) == (2, 12)
     assert size(corpus.scan(filter=A.RandomRowFilter(2.0)))[0] == 6
     assert size(corpus.scan(filter=A.RandomRowFilter(-1.0)))[0] == 0
@@ -101,9 +101,9 @@ def test_scan_rules(corpus):
         ScanSpec(raw=True, columns=("f",))
     with pytest.raises(ValueError):
         ScanSpec(batch=2, filter=A.PageFilter(1))
-    assert corpus.exists("testRowOne-0") and not corpus.exists("testRowOne-1")
-    assert corpus.count(start="testRowTwo") == 3
-    assert {r.rowkey for r in corpus.row_or_before("testRowOne-1x", "testFamilyOne").collect()} == {"testRowOne-0"}
+    assert corpus.exists("rowA-0") and not corpus.exists("rowA-1")
+    assert corpus.count(start="rowB") == 3
+    assert {r.rowkey for r in corpus.row_or_before("rowA-1x", "famA").collect()} == {"rowA-0"}
 
 
 def test_versions_and_markers(spark):
@@ -210,14 +210,14 @@ def test_compaction_is_what_a_read_sees(corpus):
 
 def test_catalog(spark, corpus, tmp_path):
     c = Catalog(spark, str(tmp_path))
-    families = {"testFamilyOne": FamilySpec(), "testFamilyTwo": FamilySpec()}
+    families = {"famA": FamilySpec(), "famB": FamilySpec()}
     c.create("t1", families, corpus.cells)
     with pytest.raises(ValueError):
         c.create("t1", families, corpus.cells)
     with pytest.raises(ValueError):
         c.create("bad name", families, corpus.cells)
     c.snapshot("t1", "s1")
-    c.mutate("t1", mutations.delete_row(spark.createDataFrame([("testRowOne-0", 99)], "rowkey string, ts long"), list(families), 99))
+    c.mutate("t1", mutations.delete_row(spark.createDataFrame([("rowA-0", 99)], "rowkey string, ts long"), list(families), 99))
     assert c.table("t1").count() == 5
     with pytest.raises(ValueError):
         c.restore_snapshot("s1")
@@ -226,7 +226,7 @@ def test_catalog(spark, corpus, tmp_path):
         c.table("t1")
     c.restore_snapshot("s1")
     c.add_family("t1", "extra")
-    c.delete_family("t1", "testFamilyTwo")
+    c.delete_family("t1", "famB")
     c.enable("t1")
     assert c.table("t1").scan().count() == 18
     c.clone_snapshot("s1", "t2")
