@@ -6,9 +6,11 @@ at most ``SAMPLE_CHARS`` characters, up to ``DICTIONARY_BYTES`` bytes.  A text i
 ASCII other than letters becomes a space, and what is left is compressed whole, in pieces of
 ``PIECE`` bytes, once with each dictionary; a piece starts from the dictionary alone, so that
 long texts don't outgrow it.  The smallest sum of sizes wins, and the margin to the second,
-as a share of the second's size, tells how sure that is.  Where rejection is asked for, texts
-of ``TELLING`` bytes or more go if their margin is below ``LEAST_MARGIN``; in shorter ones a
-margin of one byte more or less says little, and they stay.
+as a share of the second's size, tells how sure that is.  Where rejection is asked for, a text of
+``n`` bytes goes if its margin is below ``LEAST_MARGIN / sqrt(n)``, as in noise and in languages that weren't learned,
+and its best dictionary saves less than ``LEAST_GAIN`` of what it takes without any: texts
+that mix learned languages have narrow margins too, but their dictionaries help, and they stay.  Texts
+below ``TELLING`` bytes stay, for clean ones are mostly as long with a dictionary as without.
 
 Cases: a null text and one without any letter are ``und`` with score 0; of languages
 with equal sizes the one with more learned rows is given (then the first by name), with score 0; if one language was learned
@@ -18,12 +20,13 @@ language, and those held out, are never learned from.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from cellarium.llm.common import bounded_batches, documents, held_out, unit, worker_cache
 
@@ -37,10 +40,11 @@ UNKNOWN = "und"
 
 #: The margin at which the score is one half.
 HALF_MARGIN = 0.02
-#: A text whose margin is lower than this is rejected where rejection is asked for; texts that mix two languages evenly lie
-#: just above it and stay.
-LEAST_MARGIN = 0.0005
-TELLING = 256
+#: Measured on held-out texts and made ones (figures in the README): the margins of noise are below LEAST_MARGIN / sqrt(bytes),
+#: its gains below LEAST_GAIN; clean texts are above both from TELLING bytes on.
+LEAST_MARGIN = 0.5
+LEAST_GAIN = 0.03
+TELLING = 40
 
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -80,6 +84,18 @@ class Classifier:
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(compression_params=parameters)
             self.compress.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress)
+        self.plain = zstandard.ZstdCompressor(compression_params=parameters).compress
+
+    def told(self, text: str | None, least_margin: float = LEAST_MARGIN, least_gain: float = LEAST_GAIN) -> bool:
+        """Whether the text is in a learned language, or in a mix of them."""
+        name, _, margin, size = self.classify(text)
+        if name == UNKNOWN or size < TELLING or margin >= least_margin / size**0.5:
+            return name != UNKNOWN
+        data = normalised(text)
+        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+        plain = sum(map(len, map(self.plain, pieces)))
+        best = min(sum(map(len, map(compress, pieces))) for compress in self.compress)
+        return plain - best >= least_gain * plain
 
     def classify(self, text: str | None) -> tuple[str, float, float, int]:
         """Language, score, margin and the bytes that were compared."""
@@ -96,8 +112,8 @@ class Classifier:
         return self.names[best], margin / (margin + HALF_MARGIN), margin, len(data)
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, margin, compared, and the columns ``keep`` of every row."""
+def _judged(docs: DataFrame, dictionaries: dict[str, bytes], judge: Callable[[Classifier, str | None], tuple], fields: list[pa.Field], doc_id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, held_out, the columns ``keep`` and those that ``judge`` gives of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
     content = spark.sparkContext.broadcast(dictionaries)  # DICTIONARY_BYTES for each language
@@ -107,25 +123,32 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
         key = ("language", tuple(content.value.items()))
         if key not in cache:
             cache[key] = Classifier(content.value)
-        classify = cache[key].classify
         for batch in batches:
-            found = [classify(t.as_py()) for t in batch.column("_text")]
+            found = [judge(cache[key], t.as_py()) for t in batch.column("_text")]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score", "margin", "compared"])
+            columns += [pa.array([f[i] for f in found], field.type) for i, field in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *[f.name for f in fields]])
 
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep], F.col(text).alias("_text")
     )
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("margin", "double").add("compared", "long")
+    schema = rows.drop("_text").schema
+    for f in fields:
+        schema = schema.add(f.name, from_arrow_type(f.type))
     return rows.mapInArrow(run, schema)
 
 
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, margin, compared, and the columns ``keep`` of every row."""
+    fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("margin", pa.float64()), pa.field("compared", pa.int64())]
+    return _judged(docs, dictionaries, Classifier.classify, fields, doc_id, text, keep)
+
+
 def reject(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is told, with the columns they came with."""
-    judged = predict(docs, dictionaries, doc_id, text, keep=tuple(docs.columns))
-    kept = judged.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("margin") >= least_margin) | (F.col("compared") < TELLING)))
-    return kept.select(*[F.col(f"`keep_{c}`").alias(c) for c in docs.columns])
+    judge = lambda classifier, t: (classifier.told(t, least_margin),)
+    judged = _judged(docs, dictionaries, judge, [pa.field("told", pa.bool_())], doc_id, text, tuple(docs.columns))
+    return judged.filter("told").select(*[F.col(f"`keep_{c}`").alias(c) for c in docs.columns])
 
 
 def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:

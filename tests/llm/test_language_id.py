@@ -69,3 +69,17 @@ def test_whole_texts_count(dictionaries):
     """What comes late in a long text decides too."""
     c = L.Classifier(dictionaries)
     assert c.classify("the water " * 50 + " ".join(WORDS["de"]) * 40)[0] == "de"
+
+
+def test_narrow_margins_are_rejected_and_clean_texts_stay(spark, dictionaries):
+    r = random.Random(9)
+    noise = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(n))
+    clean = lambda lang, n: " ".join(r.choice(WORDS[lang]) for _ in range(n))
+    rows = [(i, noise(n), "en", "noise", "c") for i, n in enumerate([20, 100, 500, 2000] * 10)]
+    rows += [(100 + i, clean(lang, n), lang, "clean", "c") for i, (lang, n) in enumerate((g, n) for g in WORDS for n in (1, 2, 12, 100, 500, 2000) * 5)]
+    rows += [(300 + i, clean("en", n) + " " + clean("de", n), "en", "mixed", "c") for i, n in enumerate([50, 200, 1000] * 10)]
+    stay = [(x.doc_id, x.source) for x in L.reject(spark.createDataFrame(rows, SCHEMA), dictionaries).collect()]
+    assert {s for _, s in stay} >= {"clean", "mixed"}
+    assert {d for d, s in stay if s != "noise"} == {d for d, _, _, s, _ in rows if s != "noise"}
+    # Some 1 in 100 noise texts passes by chance.
+    assert sum(s == "noise" for _, s in stay) <= 2
