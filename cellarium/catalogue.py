@@ -221,6 +221,13 @@ def _(s, d):
     return scan.as_of(keys, rows, "at", "event_id").select("event_id", F.col("match.o_orderkey").alias("o_orderkey"))
 
 
+#: As as_of_rows, of all events.
+@register("as_of_rows_whole", "SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_orderkey, o_orderkey * 3 AS at FROM orders) o ON e.event_id >= o.at")
+def _(s, d):
+    rows = orders(s, d).select((F.col("o_orderkey") * 3).alias("at"), "o_orderkey")
+    return scan.as_of(read_table(s, d, "events").select("event_id"), rows, "at", "event_id").select("event_id", F.col("match.o_orderkey").alias("o_orderkey"))
+
+
 @register("salted_scan", "SELECT c_custkey FROM (SELECT c_custkey, CAST(c_custkey % 4 AS VARCHAR) || '-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS k FROM customer) WHERE (k >= '0-000100' AND k < '0-000200') OR (k >= '2-000100' AND k < '2-000200')")
 def _(s, d):
     c = read_table(s, d, "customer")

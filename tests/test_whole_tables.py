@@ -1,0 +1,28 @@
+"""Queries of whole tables against their SQL on tables where a cut by key would show."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from cellarium import catalogue
+from tests.test_queries import shown
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", [n for n in catalogue.ORACLE_SQL if n.endswith("_whole")])
+def test_like_sql(spark, name):
+    c = duckdb.connect()
+    for path in glob.glob(f"{FOLDER}/*.parquet"):
+        c.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    df = catalogue.QUERIES[name](spark, FOLDER)
+    columns = sorted(df.columns)
+    want = c.execute(catalogue.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == columns
+    rows = [[r[names.index(k)] for k in columns] for r in want.fetchall()]
+    assert shown(df.select(*columns).collect()) == shown(rows)
+    part = catalogue.QUERIES[name.removesuffix("_whole")](spark, FOLDER)
+    assert shown(part.select(*columns).collect()) != shown(rows)
