@@ -330,6 +330,25 @@ def _(s, d):
     return filter_cells(c, filter_text.parse("DependentColumnFilter('f', 'A', true, =, 'binary:F')")).select("rowkey", "qualifier", "ts", "value")
 
 
+LC = """c AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS rowkey, l_returnflag AS qualifier, CAST(l_linenumber AS BIGINT) AS ts, l_linestatus AS value FROM lineitem)"""
+
+
+def _dependent_whole(s: SparkSession, d: str, f: str) -> DataFrame:
+    """As dependent_column, of all of lineitem."""
+    c = cells.as_cells(read_table(s, d, "lineitem"), codec.integer_key(F.col("l_orderkey"), 8), F.lit("f"), F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_linestatus"))
+    return filter_cells(c, filter_text.parse(f)).select("rowkey", "qualifier", "ts", "value")
+
+
+@register("dependent_column_whole", f"WITH {LC} SELECT rowkey, qualifier, ts, value FROM c WHERE EXISTS (SELECT * FROM c r WHERE r.rowkey = c.rowkey AND r.ts = c.ts AND r.qualifier = 'A')")
+def _(s, d):
+    return _dependent_whole(s, d, "DependentColumnFilter('f', 'A')")
+
+
+@register("dependent_column_drop_whole", f"WITH {LC} SELECT rowkey, qualifier, ts, value FROM c WHERE qualifier <> 'A' AND EXISTS (SELECT * FROM c r WHERE r.rowkey = c.rowkey AND r.ts = c.ts AND r.qualifier = 'A' AND r.value = 'F')")
+def _(s, d):
+    return _dependent_whole(s, d, "DependentColumnFilter('f', 'A', true, =, 'binary:F')")
+
+
 @register("time_range_filter", f"WITH {EV} SELECT rowkey, family, qualifier, ts, value FROM ev WHERE rowkey IN (SELECT rowkey FROM ev WHERE qualifier = 'click' AND ts BETWEEN 100 AND 400) AND (qualifier <> 'click' OR ts BETWEEN 100 AND 400)")
 def _(s, d):
     return events_table(s, d).scan(filter=A.TimeRangeFilter("e", "click", 100, 400, True), max_versions=None).select(*VERSION)
