@@ -201,6 +201,13 @@ def _(s, d):
     return parts_table(s, d).multi_get(k, "k").select(*CELL)
 
 
+#: As multi_get, of the keys of all of lineitem.
+@register("multi_get_whole", f"WITH {PT}, k AS (SELECT DISTINCT lpad(CAST(l_partkey + 100000 * (l_linenumber % 2) AS VARCHAR), 8, '0') AS rowkey FROM lineitem) SELECT k.rowkey, family, qualifier, value FROM k LEFT JOIN pc ON k.rowkey = pc.rowkey")
+def _(s, d):
+    k = read_table(s, d, "lineitem").select(codec.integer_key(F.col("l_partkey") + 100000 * (F.col("l_linenumber") % 2), 8).alias("k")).distinct()
+    return parts_table(s, d).multi_get(k, "k").select(*CELL)
+
+
 @register("row_exists", f"WITH {PT} SELECT EXISTS (SELECT * FROM pc WHERE rowkey = '00000007') AS found")
 def _(s, d):
     return parts_table(s, d).get("00000007").agg((F.count(F.lit(1)) > 0).alias("found"))
@@ -631,6 +638,17 @@ def _(s, d):
     return _latest(mutations.append(c, pieces.join(c.select("rowkey"), "rowkey", "left_semi"), 9, 1)).select("rowkey", "value")
 
 
+#: As append, of all of lineitem.
+@register("append_whole", "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS rowkey, p_brand || coalesce(t, '') AS value FROM part LEFT JOIN (SELECT l_partkey, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber, l_suppkey, l_returnflag) AS t FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey")
+def _(s, d):
+    c = part_cells(s, d).filter("qualifier = 'p_brand'")
+    pieces = read_table(s, d, "lineitem").select(
+        codec.integer_key(F.col("l_partkey"), 8).alias("rowkey"), F.lit("d").alias("family"), F.lit("p_brand").alias("qualifier"),
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("n"), F.col("l_returnflag").alias("value"),
+    )
+    return _latest(mutations.append(c, pieces.join(c.select("rowkey"), "rowkey", "left_semi"), 9, 1)).select("rowkey", "value")
+
+
 @register("check_and_put", f"WITH {PT} SELECT rowkey, qualifier, CASE WHEN qualifier = 'p_size' AND rowkey IN (SELECT rowkey FROM pt WHERE p_brand = 'Brand#4') THEN '0' ELSE value END AS value FROM pc")
 def _(s, d):
     c = part_cells(s, d)
