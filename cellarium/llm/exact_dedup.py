@@ -32,18 +32,36 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The persistent index: a bucketed, sorted table in the shared folder."""
+    """The persistent index: a bucketed, sorted table in the shared folder.
+
+    The number of buckets is kept in a folder beside it, for the files hold only under that number.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or new_path(spark, "digest-index")
-        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        kept = self._kept_buckets() if path else None
+        if kept and buckets and kept != buckets:
+            raise ValueError(f"the index at {path} has {kept} buckets, not {buckets}")
+        self.buckets = kept or buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if not kept:
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).coalesce(1).write.parquet(f"{self.path}-buckets")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} ({INDEX_SCHEMA}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _kept_buckets(self) -> int | None:
+        """The number that an index at this path was written with; None if there is none yet."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        there = lambda p: hadoop(p).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop(p))
+        if there(f"{self.path}-buckets"):
+            return self.spark.read.schema("buckets int").parquet(f"{self.path}-buckets").first()["buckets"]
+        if there(self.path):
+            raise ValueError(f"the index at {self.path} doesn't say how many buckets it has")
+        return None
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 

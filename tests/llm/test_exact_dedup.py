@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from cellarium.llm import exact_dedup as X
 
 ROWS = [
@@ -60,3 +62,22 @@ def test_the_index_side_needs_no_shuffle(spark):
     assert "SortMergeJoin" in plan
     right = plan[plan.rindex("FileScan") :]
     assert "Bucketed: true" in right
+
+
+def test_a_reopened_index_keeps_its_buckets(spark):
+    index = X.DigestIndex(spark, buckets=3)
+    first = spark.createDataFrame([(i, f"text {i}", "x") for i in range(40)], SCHEMA)
+    X.dedup(first, index).count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = X.DigestIndex(spark, index.path)
+        assert again.buckets == 3
+        later = spark.createDataFrame([(100 + i, f"te xt {i}", "x") for i in range(40)], SCHEMA)
+        out = {r.doc_id: (r.keep_id, r.kept) for r in X.dedup(later, again).collect()}
+        assert out == {100 + i: (i, False) for i in range(40)}
+        assert again.rows().count() == 40
+        with pytest.raises(ValueError):
+            X.DigestIndex(spark, index.path, 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
