@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -47,11 +48,29 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the folders of ``written`` frames that nothing reads any more.  Other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            remove_folder(df.sparkSession, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for whole, long texts."""
+    """Keep Arrow batches small enough for whole, long texts.
+
+    The settings are read when a plan runs, which is after this returns: they stay with the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -61,15 +80,42 @@ def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
+#: A side of at most so many short rows (some 50 bytes each) is broadcast; a larger one is dealt by key.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has BROADCAST_ROWS rows or fewer.  It should be cheap to count."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text hash aren't in ``gone`` (_d, _k), with the columns they came with.
+
+    Texts stay where they are as long as ``gone`` is small; beyond that they are dealt by key.
+    """
+    rows = packed(docs, d=F.col(doc_id), k=F.xxhash64(F.col(text)))
+    return rows.join(if_small(gone), F.col("d").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")), "left_anti").select("row.*")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row in the order, from 0: ranges are numbered each for itself and moved on by the sizes of those before."""
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
+
+
 #: A key with more than one row in so many is hot.  There are fewer hot keys than this.
 HOT_SHARE = 1000
 
 
 def join_by_key(rows: DataFrame, table: DataFrame, keys: str | list[str], total: int, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has one row for each hot key, without gathering hot keys.
+    """Inner join of ``rows`` with ``table``, which has one row for each hot key, without gathering hot keys.  NULL keys meet nothing.
 
     The rows of hot keys (fewer than HOT_SHARE keys, whatever the input) meet a broadcast of their part of
-    the table where they are; all others are dealt by key.  ``counts`` has the keys with the ``count`` of their rows.
+    the table where they are; all others are dealt by key.  ``counts`` has the keys with the ``count`` of their rows.  ``rows`` is read twice: it should be ``written``.
     """
     keys = [keys] if isinstance(keys, str) else keys
     counts = rows.groupBy(*keys).count() if counts is None else counts

@@ -2,22 +2,24 @@
 
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and
 share ``TOTAL_SHARE`` of all words; none gets more than ``CAP`` times its size, and
-the excess is shared anew by weight.  With sources sorted by the factor at which
-they hit their cap, that is a water level found by running sums.
+the excess is shared anew by weight until none is above.
 
-A document's expected copies are its source's target over its source's size.
-The whole part is allocated for certain.  The fraction is the inclusion
-probability of one copy more: documents are ranked by random odds divided by
-inclusion odds, and the first ones are taken until the source's words are spent.
-The document that crosses the line is taken if that ends nearer to it.
+Within a source documents are drawn with unequal probabilities: a document of size class c (its size
+has c + 1 binary digits) is expected ``min(CAP, t * 2 ** (c * SIZE_POWER))`` times, and t is
+such that the source's expected words are its target.  The whole part of that is allocated for certain.  The
+fraction is the inclusion probability p of one copy more: documents are ranked by random odds
+u / (1 - u) divided by inclusion odds p / (1 - p), and the first ones are taken until the words that
+whole copies leave are spent.
 
-The running sum over a source is hierarchical: sums of rank bins first, then one
-running sum inside the one bin that crosses the line, so that no task gathers a
-source.  The draw is a hash of doc_id, text and seed, so reruns agree.
+The rank at which that is so is found digit by digit: sums of the source's words by the first
+digit tell the digit in which the line lies, then only documents with that digit go on to the next.  So no
+task gathers a source, and copies are told from a document and the few numbers of its source and class alone.
+The draw is a hash of doc_id, text and seed, so reruns agree.
 
 Cases: null and empty texts have size 0 and nothing is taken of them; a source of
-size 0 has target 0; a null source is a source of its own, last; repeated rows tie
-and are told apart by a number of the row; an empty table gives an empty result.
+size 0 has target 0; a null source is a source of its own, last; rows that have doc_id and text in
+common tie: if the line falls among them all are taken or none, whichever ends nearer to it; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.llm.common import WHITE, documents, join_by_key, packed, unit, written
+from cellarium.llm.common import BROADCAST_ROWS, WHITE, discard, documents, if_small, join_by_key, numbered, packed, unit, written
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 CAP = 2.0
 
-BINS = 4096
+SIZE_POWER = 0.5
+#: Digits of a rank, and bits of a digit.
+DIGITS, DIGIT_BITS = 6, 8
 SEED = 9
 
 
@@ -43,89 +47,143 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size, target from rows of (source, size).  Its windows run over one row for each source."""
+    """source, source_size, target from rows of (source, size).  Only sums over all sources reach the driver."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy()
-    ranked = per.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
-    full = ranked.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(cap))
-    full = full.withColumn("_all", F.sum("source_size").over(everything) * F.lit(share))
-    # Level t gives source s min(cap_s, t * w_s); sources fill up in the order of cap_s / w_s.
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), "_i")
-    capped = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("_w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    full = full.withColumn("_level", (F.col("_all") - capped) / left)
-    # The level is right at the first source that it doesn't fill; if it fills all, every source is at its cap.
-    open_level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct(F.col("_cap") / F.col("_w"), "_i", "_level"))).over(everything)
-    full = full.withColumn("_t", open_level["_level"])
-    target = F.when(F.col("_t").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_t") * F.col("_w")))
-    return full.select("source", "source_size", target.cast("double").alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_i") % len(weights) + 1).cast("int"))
+    ranked = written(numbered(per, [F.col("source").asc_nulls_last()], "_i").withColumn("_w", weight), "mix-sources")
+    size, weighs = ranked.agg(F.sum("source_size"), F.sum("_w")).first()
+    total, level, full = share * (size or 0), 0.0, 0
+    # Source s gets the smaller of cap * size and level * weight.  Each round shares what full sources leave;
+    # the level only rises, and the rounds end when it fills no further source.
+    while weighs:
+        level = total / weighs
+        n, held, weight_held = ranked.agg(
+            F.count_if(F.col("source_size") * cap <= level * F.col("_w")),
+            F.sum(F.when(F.col("source_size") * cap <= level * F.col("_w"), F.col("source_size"))),
+            F.sum(F.when(F.col("source_size") * cap <= level * F.col("_w"), F.col("_w"))),
+        ).first()
+        if n == full:
+            break
+        full, total = n, share * size - cap * (held or 0)
+        weighs = ranked.agg(F.sum("_w")).first()[0] - (weight_held or 0)
+    else:
+        level = float("inf")
+    return ranked.select("source", "source_size", F.least(F.col("source_size") * cap, F.lit(level) * F.col("_w")).cast("double").alias("target"))
+
+
+def source_key(source: Column) -> Column:
+    """A key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def size_class(size: Column) -> Column:
+    """The place of the highest binary digit; 0 for size 0."""
+    return F.length(F.bin(size)) - 1
+
+
+def _expected(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """_s, _c, source_size, target, expected: copies of a document of a source and size class.  At most 64 rows for each source."""
+    classes = sizes.filter("size > 0").groupBy("_s", "_c").agg(F.sum("size").alias("_words"))
+    weight = F.pow(F.lit(2.0), F.col("_c") * F.lit(SIZE_POWER))
+    full = classes.withColumn("_g", weight).join(targets.select(source_key(F.col("source")).alias("_s"), "source_size", "target"), "_s")
+    # Classes reach the cap from the largest on; t is right at the first that it doesn't fill.
+    down = Window.partitionBy("_s").orderBy(F.desc("_c"))
+    held = F.coalesce(F.sum(F.col("_words") * F.lit(cap)).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum(F.col("_words") * F.col("_g")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    full = full.withColumn("_t", (F.col("target") - held) / left)
+    fits = F.when(F.col("_t") * F.col("_g") <= cap, F.struct((-F.col("_c")).alias("c"), F.col("_t").alias("t")))
+    t = F.min(fits).over(Window.partitionBy("_s"))["t"]
+    return full.select("_s", "_c", "_words", "source_size", "target", F.least(F.lit(cap), F.coalesce(t * F.col("_g"), F.lit(cap))).alias("expected"))
+
+
+def _rank(u: Column, p: Column) -> Column:
+    """Random odds over inclusion odds, q, as a whole number: q / (1 + q) lies between 0 and 1 and keeps the order."""
+    q = (u / (1 - u)) * ((1 - p) / p)
+    return F.when(p > 0, F.floor(q / (1 + q) * F.lit(float(1 << DIGITS * DIGIT_BITS))).cast("long"))
+
+
+def _lines(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """_s, cutoff: the last rank that is taken.  ``rows``: _s, rank, size; ``rest``: _s, rest, the words to take."""
+    found = rest.select("_s", "rest", F.lit(0).cast("long").alias("digits"), F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("words"))
+    found, inside = written(found, "mix-lines"), rows
+    for k in range(1, DIGITS + 1):
+        digits = F.shiftright("rank", DIGIT_BITS * (DIGITS - k))
+        bins = inside.groupBy("_s", digits.alias("bin")).agg(F.sum("size").alias("sum"))
+        order = Window.partitionBy("_s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ends = bins.join(found.select("_s", "rest", "begin"), "_s").withColumn("end", F.col("begin") + F.sum("sum").over(order))
+        first = F.min(F.struct("bin", (F.col("end") - F.col("sum")).alias("begin"), F.col("sum").alias("words")))
+        crossed = ends.filter("end >= rest").groupBy("_s").agg(first.alias("c"))
+        # A source whose words don't reach the line keeps its last place: all of them are taken.
+        after = found.drop("digits", "begin", "words").join(crossed, "_s", "left").select("_s", "rest", F.col("c.bin").alias("digits"), F.col("c.begin").alias("begin"), F.col("c.words").alias("words"))
+        last, found = found, written(after, "mix-lines")
+        n = found.count()
+        here = found.filter("digits IS NOT NULL").select("_s", F.col("digits").alias("_bin"))
+        met = inside.withColumn("_bin", digits).join(if_small(here, n), ["_s", "_bin"], "left_semi").drop("_bin")
+        before, inside = inside, written(met, "mix-inside")
+        discard(last, *([before] if k > 1 else []))
+    discard(inside)
+    everything = F.lit(1 << DIGITS * DIGIT_BITS).cast("long")
+    # The rows at the line are taken if the middle of their words lies before it: then the sum ends nearer with them than without.
+    taken = F.col("digits") - F.when(F.col("begin") + F.col("words") / 2 <= F.col("rest"), 0).otherwise(1)
+    return found.select("_s", F.when(F.col("rest") <= 0, F.lit(-1).cast("long")).otherwise(F.coalesce(taken, everything)).alias("cutoff"))
+
+
+def _drawn(docs: DataFrame, seed: int, doc_id: str, text: str, source: str) -> dict[str, Column]:
+    """What the plan and the rows have to agree on."""
+    size = word_count(F.col(text))
+    return {"_s": source_key(F.col(source)), "size": size, "_c": size_class(size).cast("int"), "u": unit(F.col(doc_id), F.xxhash64(F.col(text)), F.lit(seed))}
+
+
+def _planned(sizes: DataFrame, cap: float) -> DataFrame:
+    """_s, _c, source_size, target, whole, p, cutoff: all that tells the copies of a document."""
+    targets = written(source_targets(sizes, cap=cap), "mix-targets")
+    expected = _expected(sizes, targets, cap).withColumn("whole", F.floor(F.col("expected") + 1e-9).cast("int"))
+    expected = written(expected.withColumn("p", F.greatest(F.lit(0.0), F.least(F.col("expected") - F.col("whole"), F.lit(1 - 1e-9)))), "mix-expected")
+    rest = expected.groupBy("_s").agg((F.first("target") - F.sum(F.col("whole") * F.col("_words"))).alias("rest"))
+    ranked = _met(sizes.filter("size > 0"), expected.select("_s", "_c", "p")).select("_s", _rank(F.col("u"), F.col("p")).alias("rank"), "size")
+    ranked = written(ranked.filter("rank IS NOT NULL"), "mix-ranked")
+    lines = _lines(ranked, rest)
+    planned = written(expected.join(lines, "_s").select("_s", "_c", "whole", "p", "cutoff"), "mix-plan")
+    # Classes of size 0 aren't in the plan: nothing is taken of them.
+    out = targets.select(source_key(F.col("source")).alias("_s"), "source_size", "target").join(planned, "_s", "left")
+    out = written(out, "mix-plans")
+    discard(ranked, planned, expected, targets)
+    return out
+
+
+def _met(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with the plan of their source and class.  A plan of many sources is met by key, hot ones where they are."""
+    n = plan.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(plan), ["_s", "_c"])
+    return join_by_key(rows, plan, ["_s", "_c"], rows.count())
+
+
+def _copies() -> Column:
+    return F.col("whole") + F.when(_rank(F.col("u"), F.col("p")) <= F.col("cutoff"), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, key (a hash of the text), source, size, source_size, target, copies, taken."""
-    sizes = written(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.xxhash64(F.col(text)).alias("key"),
-            F.col(source).alias("source"),
-            word_count(F.col(text)).alias("size"),
-            unit(F.col(doc_id), F.xxhash64(text), F.lit(seed)).alias("u"),
-            F.monotonically_increasing_id().alias("tag"),
-        ),
-        "mix-sizes",
-    )
-    total = sizes.count()
-    targets = written(source_targets(sizes), "mix-targets")
-    rows = sizes.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    plan = targets.select(
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_s"),
-        "source_size",
-        "target",
-        F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("whole"),
-    )
-    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    chance = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
-    counts = written(rows.groupBy("_s").count(), "mix-counts")
-    ranked = join_by_key(rows, plan, "_s", total, counts).withColumn("_p", F.least(chance, F.lit(1 - 1e-9)))
-    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("_p")) / F.col("_p"))
-    ranked = ranked.withColumn("q", F.when(F.col("_p") > 0, odds))
-    # q / (1 + q) lies between 0 and 1 and keeps the order.
-    ranked = ranked.withColumn("bin", F.when(F.col("_p") > 0, F.floor(F.col("q") / (1 + F.col("q")) * BINS)).otherwise(BINS))
-    ranked = written(ranked, "mix-ranked")
-
-    bins = ranked.filter("_p > 0").groupBy("_s", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("_s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("end", F.sum("words").over(upto)).withColumn("begin", F.col("end") - F.col("words"))
-    crossing = bins.filter("begin < rest AND end >= rest").select("_s", F.col("bin").alias("cross"), "begin")
-    crossing = crossing.groupBy("_s").agg(F.min("cross").alias("cross"), F.min_by("begin", "cross").alias("begin"))
-    # A source that takes no copy in part has no bin that crosses the line.
-    crossing = written(plan.select("_s").join(crossing, "_s", "left"), "mix-lines")
-    marked = join_by_key(ranked, crossing, "_s", total, counts)
-    sure = F.when(F.col("_p") <= 0, 0).when(F.col("cross").isNull() | (F.col("bin") < F.col("cross")), 1).otherwise(0)
-    at_line = F.col("bin") == F.col("cross")
-    inside = marked.filter(at_line)
-    running = Window.partitionBy("_s").orderBy("q", "doc_id", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_end", F.col("begin") + F.sum("size").over(running))
-    # Taken if the middle of its words lies before the line: then it ends nearer with the document than without.
-    inside = inside.withColumn("extra", F.when(F.col("_end") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)).drop("_end")
-    outside = marked.filter(~F.coalesce(at_line, F.lit(False))).withColumn("extra", sure)
-    out = outside.unionByName(inside).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
-    return out.select("doc_id", "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    """One row per document: doc_id, key (a hash of the text), source, size, source_size, target, expected (copies), copies, taken."""
+    kept = {"doc_id": F.col(doc_id), "key": F.xxhash64(F.col(text)), "source": F.col(source)}
+    sizes = written(docs.select(*[c.alias(n) for n, c in (kept | _drawn(docs, seed, doc_id, text, source)).items()]), "mix-sizes")
+    plan = _planned(sizes, CAP)
+    filled = _met(sizes.filter("size > 0"), plan.filter("_c IS NOT NULL").select("_s", "_c", "source_size", "target", "whole", "p", "cutoff"))
+    empty = plan.select("_s", "source_size", "target").distinct()
+    wordless = sizes.filter("size = 0").join(if_small(empty), "_s")
+    columns = ["doc_id", "key", "source", "size", "source_size", "target"]
+    full = filled.select(*columns, (F.col("whole") + F.col("p")).alias("expected"), _copies().cast("int").alias("copies"))
+    out = full.unionByName(wordless.select(*columns, F.lit(0.0).alias("expected"), F.lit(0).alias("copies")))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def repeat_documents(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with the columns they came with.
-
-    Rows are looked up by doc_id, text hash and source.  Rows that have these in common share their copies evenly; what is left over goes to all
-    or none, whichever is nearer.
-    """
-    taken = written(mix(docs, seed, doc_id, text, source).select("doc_id", "key", "source", "copies"), "mix-copies")
-    per = taken.groupBy("doc_id", "key", "source").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    per = per.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s"), "_copies")
-    rows = packed(docs, d=F.col(doc_id), k=F.xxhash64(F.col(text)), s=F.col(source))
-    same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")) & F.col("s").eqNullSafe(F.col("_s"))
-    found = rows.join(per.filter("_copies > 0"), same)
+    """The rows of ``docs``, each as often as the mix takes it, with the columns they came with.  Texts stay where they are."""
+    drawn = _drawn(docs, seed, doc_id, text, source)
+    sizes = written(docs.select(F.col(source).alias("source"), *[c.alias(n) for n, c in drawn.items()]), "mix-sizes")
+    plan = _planned(sizes, CAP).filter("_c IS NOT NULL").select("_s", "_c", "whole", "p", "cutoff")
+    rows = packed(docs, **drawn)
+    found = _met(rows.filter("size > 0"), plan).withColumn("_copies", _copies()).filter("_copies > 0")
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import bounded_batches, documents, join_by_key, packed, written
+from cellarium.llm.common import bounded_batches, documents, join_by_key, without, written
 from cellarium.llm.components import stars
 
 #: Fixed values of the contract: words in a shingle, hash seed, differing bits.
@@ -213,21 +213,21 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = NODE_LIMIT) -> Data
     """(u, v) between distinct fingerprints ``fp``: stars that span what the links join."""
     everything = (1 << 64) - 1
     #: Nodes' paths with the bits that are fixed so far.
-    level = [(k, mask) for k, mask in enumerate(split_mask(everything, radius + 1))]
+    level = dict(enumerate(split_mask(everything, radius + 1)))
     rows = fps.select("fp", F.lit(-1).cast("long").alias("parent"))
     out = None
     while True:
-        deal = F.array(
-            *[
-                F.struct(F.lit(path).cast("long").alias("path"), F.lit(path // (radius + 1) if len(level) > radius + 1 else -1).cast("long").alias("of"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("pattern"))
-                for path, mask in level
-            ]
-        )
-        entries = rows.select("fp", "parent", F.explode(deal).alias("n")).filter("n.of = parent").select("n.path", "n.pattern", "fp")
+        # The masks of a parent's children, looked up by the parent: a row goes to its own parent's children only.
+        children: dict[int, list[tuple[int, int]]] = {}
+        for path, mask in level.items():
+            children.setdefault(path // (radius + 1) if len(level) > radius + 1 else -1, []).append((path, mask))
+        masks = F.create_map(*[x for p, c in children.items() for x in (F.lit(p).cast("long"), F.array(*[F.struct(F.lit(k).cast("long").alias("path"), F.lit(_signed(m)).alias("mask")) for k, m in c]))])
+        nodes = rows.select("fp", F.explode(masks[F.col("parent")]).alias("n"))
+        entries = nodes.select("n.path", F.col("fp").bitwiseAND(F.col("n.mask")).alias("pattern"), "fp")
         sizes = written(entries.groupBy("path", "pattern").count().filter("count > 1"), "node-sizes")
         total = sizes.agg(F.sum("count")).first()[0] or 0
         entries = written(join_by_key(entries, sizes.withColumnRenamed("count", "size"), ["path", "pattern"], total, sizes), "nodes")
-        last = min((everything & ~mask).bit_count() for _, mask in level) <= OPEN_BITS
+        last = min((everything & ~mask).bit_count() for mask in level.values()) <= OPEN_BITS
         leaves = entries if last else entries.filter(F.col("size") <= limit)
         dealt = leaves.select("path", "pattern", "fp", gray_rank(F.col("fp")).alias("rank")).repartition("path", "pattern")
         ordered = dealt.sortWithinPartitions("path", "pattern", "rank").select("path", "pattern", "fp")
@@ -239,11 +239,7 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = NODE_LIMIT) -> Data
         if big.isEmpty():
             return out
         rows = big.select("fp", F.col("path").alias("parent"))
-        level = [
-            (path * (radius + 1) + k, mask | part)
-            for path, mask in level
-            for k, part in enumerate(split_mask(everything & ~mask, radius + 1))
-        ]
+        level = {path * (radius + 1) + k: mask | part for path, mask in level.items() for k, part in enumerate(split_mask(everything & ~mask, radius + 1))}
 
 
 def near_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,14 +255,14 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, doc
     several = placed.join(linked, "root", "left_semi")
     best = several.groupBy("root").agg(F.min("first").alias("best"))
     classes = placed.join(best, "root", "left").select("fp", F.coalesce("best", "first").alias("best"))
-    return rows.join(classes, "fp").select("doc_id", "key", "fp", F.col("best.doc_id").alias("component_id"), (first == F.col("best")).alias("kept"))
+    # A fingerprint that many documents share is a hot key.
+    return join_by_key(rows, written(classes, "fingerprint-classes"), "fp", rows.count()).select("doc_id", "key", "fp", F.col("best.doc_id").alias("component_id"), (first == F.col("best")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the smallest document."""
     gone = near_classes(docs, size, radius, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    rows = packed(docs, d=F.col(doc_id), k=F.xxhash64(F.col(text)))
-    return rows.join(gone, F.col("d").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")), "left_anti").select("row.*")
+    return without(docs, written(gone, "near-gone"), doc_id, text)
 
 
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,25 +51,81 @@ def test_mix(spark, seed):
         largest = max(r.size for r in mine)
         assert abs(sum(r.taken for r in mine) - t) <= largest / 2 + 1e-6
     assert all(0 <= r.taken <= 2 * r.size for r in out)
-    whole = {s: int(want[s] / sizes[s]) if sizes[s] else 0 for s in want}
-    assert all(r.copies in (whole[r.source], whole[r.source] + 1) for r in out)
+    for s, t in want.items():
+        mine = [r for r in out if r.source == s and r.size]
+        level = level_of([r.size for r in mine], t)
+        for r in mine:
+            assert abs(r.expected - expected(level, r.size)) < 1e-6
+            assert r.copies in (int(r.expected + 1e-9), int(r.expected + 1e-9) + (r.expected % 1 > 1e-9))
     again = M.mix(frame(spark, rows).repartition(3)).collect()
     pick = lambda rs: sorted((str(r.doc_id), r.key, r.taken) for r in rs)
     assert pick(out) == pick(again)
 
 
+def expected(level, size):
+    return min(2.0, level * 2 ** (0.5 * (size.bit_length() - 1)))
+
+
+def level_of(sizes, target):
+    """The level at which the expected copies of all documents have ``target`` words, by halving."""
+    low, high = 0.0, 2.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * expected(mid, n) for n in sizes) < target else (low, mid)
+    return high
+
+
 def test_order_sampling_is_by_odds(spark):
-    """Within a source the documents with the smallest draws are the ones taken once more."""
-    rows = [(i, "w " * 3, "a" if i < 300 else "b", "c", 1) for i in range(900)]
+    """Within a source those are taken once more whose random odds over inclusion odds are the smallest."""
+    rows = [(i, "w " * (1 + i % 50), "a" if i % 3 else "b", "c", 1) for i in range(1200)]
     df = frame(spark, rows)
     draws = {r.doc_id: r.u for r in df.select("doc_id", M.unit(M.F.col("doc_id"), M.F.xxhash64("text"), M.F.lit(M.SEED)).alias("u")).collect()}
     out = M.mix(df).collect()
     for s in "ab":
-        mine = [r for r in out if r.source == s]
-        low = min(r.copies for r in mine)
-        more = [draws[r.doc_id] for r in mine if r.copies > low]
-        rest = [draws[r.doc_id] for r in mine if r.copies == low]
-        assert not more or not rest or max(more) < min(rest)
+        ranks = {True: [], False: []}
+        for r in (r for r in out if r.source == s and r.expected % 1 > 1e-6):
+            p, u = r.expected % 1, draws[r.doc_id]
+            ranks[r.copies > int(r.expected)].append(u / (1 - u) / (p / (1 - p)))
+        assert ranks[True] and ranks[False] and max(ranks[True]) < min(ranks[False])
+
+
+def test_inclusion_rates_are_the_intended_ones(spark):
+    """Over many draws each size's share of taken copies is near what was meant, and the sizes differ in it."""
+    r = random.Random(3)
+    rows = [(i, "w " * r.choice([1, 3, 9, 40, 150, 900]), "a" if i < 9000 else "b", "c", 1) for i in range(18000)]
+    seen = {}
+    for x in M.mix(frame(spark, rows), seed=5).collect():
+        seen.setdefault((x.source, x.size), []).append((x.expected, x.copies))
+    for (source, size), found in seen.items():
+        p, n = found[0][0] % 1, len(found)
+        got = sum(c for _, c in found) / n
+        assert abs(got - found[0][0]) < 4.5 * (p * (1 - p) / n) ** 0.5 + 0.004, (source, size)
+    rates = [seen["b", size][0][0] for size in (1, 3, 9, 40, 150, 900)]
+    assert rates == sorted(rates) and rates[-1] > 3 * rates[0] > 0
+
+
+def test_line_among_ties(spark):
+    """Rows that are alike in doc_id and text share their fate; the source ends as near its target as that allows."""
+    rows = [(1, "one two three", "a", "c", 1)] * 10 + [(i, "w x", "b", "c", 1) for i in range(100)]
+    out = M.mix(frame(spark, rows)).collect()
+    assert len({r.copies for r in out if r.source == "a"}) == 1
+    again = M.repeat_documents(frame(spark, rows)).collect()
+    assert len(again) == sum(r.copies for r in out)
+
+
+def test_targets_of_many_sources(spark):
+    """Ranges of sources are numbered as one order; the level is found whatever sources fill up first."""
+    r = random.Random(8)
+    sizes = {f"s{i:04d}": r.choice([0, 1, 5, 80, 4000]) for i in range(700)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(7)
+    got = {r.source: r.target for r in M.source_targets(df).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_very_long_text(spark):
+    out = {r.doc_id: r for r in M.mix(frame(spark, [(1, "long " * 400_000, "a", "c", 1), (2, "x", "b", "c", 1)])).collect()}
+    assert out[1].size == 400_000 and out[1].taken <= 800_000
 
 
 def test_repeated_rows_come_as_often_as_taken(spark):
