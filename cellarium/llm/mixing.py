@@ -77,8 +77,8 @@ def source_key(source: Column) -> Column:
 
 
 def size_class(size: Column) -> Column:
-    """The place of the highest binary digit; 0 for size 0."""
-    return F.length(F.bin(size)) - 1
+    """The place of the highest binary digit; -1 for size 0."""
+    return F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(-1)
 
 
 def _expected(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
@@ -106,6 +106,7 @@ def _lines(rows: DataFrame, rest: DataFrame) -> DataFrame:
     """_s, cutoff: the last rank that is taken.  ``rows``: _s, rank, size; ``rest``: _s, rest, the words to take."""
     found = rest.select("_s", "rest", F.lit(0).cast("long").alias("digits"), F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("words"))
     found, inside = written(found, "mix-lines"), rows
+    n = found.count()
     for k in range(1, DIGITS + 1):
         digits = F.shiftright("rank", DIGIT_BITS * (DIGITS - k))
         bins = inside.groupBy("_s", digits.alias("bin")).agg(F.sum("size").alias("sum"))
@@ -116,7 +117,6 @@ def _lines(rows: DataFrame, rest: DataFrame) -> DataFrame:
         # A source whose words don't reach the line keeps its last place: all of them are taken.
         after = found.drop("digits", "begin", "words").join(crossed, "_s", "left").select("_s", "rest", F.col("c.bin").alias("digits"), F.col("c.begin").alias("begin"), F.col("c.words").alias("words"))
         last, found = found, written(after, "mix-lines")
-        n = found.count()
         here = found.filter("digits IS NOT NULL").select("_s", F.col("digits").alias("_bin"))
         met = inside.withColumn("_bin", digits).join(if_small(here, n), ["_s", "_bin"], "left_semi").drop("_bin")
         before, inside = inside, written(met, "mix-inside")
@@ -128,10 +128,14 @@ def _lines(rows: DataFrame, rest: DataFrame) -> DataFrame:
     return found.select("_s", F.when(F.col("rest") <= 0, F.lit(-1).cast("long")).otherwise(F.coalesce(taken, everything)).alias("cutoff"))
 
 
-def _drawn(docs: DataFrame, seed: int, doc_id: str, text: str, source: str) -> dict[str, Column]:
-    """What the plan and the rows have to agree on."""
-    size = word_count(F.col(text))
-    return {"_s": source_key(F.col(source)), "size": size, "_c": size_class(size).cast("int"), "u": unit(F.col(doc_id), F.xxhash64(F.col(text)), F.lit(seed))}
+def _drawn(seed: int, doc_id: str, text: str, source: str) -> dict[str, Column]:
+    """What the plan and the rows have to agree on; ``_classed`` adds the class."""
+    return {"_s": source_key(F.col(source)), "size": word_count(F.col(text)), "u": unit(F.col(doc_id), F.xxhash64(F.col(text)), F.lit(seed))}
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """A step of its own, so that words are counted once."""
+    return rows.withColumn("_c", size_class(F.col("size")).cast("int"))
 
 
 def _planned(sizes: DataFrame, cap: float) -> DataFrame:
@@ -166,7 +170,7 @@ def _copies() -> Column:
 def mix(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, key (a hash of the text), source, size, source_size, target, expected (copies), copies, taken."""
     kept = {"doc_id": F.col(doc_id), "key": F.xxhash64(F.col(text)), "source": F.col(source)}
-    sizes = written(docs.select(*[c.alias(n) for n, c in (kept | _drawn(docs, seed, doc_id, text, source)).items()]), "mix-sizes")
+    sizes = written(_classed(docs.select(*[c.alias(n) for n, c in (kept | _drawn(seed, doc_id, text, source)).items()])), "mix-sizes")
     plan = _planned(sizes, CAP)
     filled = _met(sizes.filter("size > 0"), plan.filter("_c IS NOT NULL").select("_s", "_c", "source_size", "target", "whole", "p", "cutoff"))
     empty = plan.select("_s", "source_size", "target").distinct()
@@ -179,11 +183,10 @@ def mix(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "
 
 def repeat_documents(docs: DataFrame, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns they came with.  Texts stay where they are."""
-    drawn = _drawn(docs, seed, doc_id, text, source)
-    sizes = written(docs.select(F.col(source).alias("source"), *[c.alias(n) for n, c in drawn.items()]), "mix-sizes")
+    drawn = _drawn(seed, doc_id, text, source)
+    sizes = written(_classed(docs.select(F.col(source).alias("source"), *[c.alias(n) for n, c in drawn.items()])), "mix-sizes")
     plan = _planned(sizes, CAP).filter("_c IS NOT NULL").select("_s", "_c", "whole", "p", "cutoff")
-    rows = packed(docs, **drawn)
-    found = _met(rows.filter("size > 0"), plan).withColumn("_copies", _copies()).filter("_copies > 0")
+    found = _met(_classed(packed(docs, **drawn)), plan).withColumn("_copies", _copies()).filter("_copies > 0")
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
