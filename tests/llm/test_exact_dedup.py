@@ -54,14 +54,50 @@ def test_later_batches_meet_the_index(spark):
     assert X.DigestIndex(spark, index.path, 3).rows().count() == 3
 
 
-def test_the_index_side_needs_no_shuffle(spark):
+def test_the_index_side_is_read_by_buckets(spark, monkeypatch):
+    """The anti-join shuffles the batch alone."""
     index = X.DigestIndex(spark, buckets=4)
-    X.dedup(spark.createDataFrame(ROWS, SCHEMA), index).count()
-    new = X.digests(spark.createDataFrame(ROWS, SCHEMA)).select("digest").distinct()
-    plan = new.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan
+    plans = []
+    kept = X.written
+    monkeypatch.setattr(X, "written", lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or kept(df, tag))
+    X.dedup(spark.createDataFrame(ROWS, SCHEMA), index, name="a").count()
+    X.dedup(spark.createDataFrame(ROWS, SCHEMA), index, name="b").count()
+    plan = [p for tag, p in plans if tag == "digest-new"][-1]
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
     right = plan[plan.rindex("FileScan") :]
-    assert "Bucketed: true" in right
+    assert "Bucketed: true" in right and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_batch_that_runs_again_gives_the_same(spark):
+    index = X.DigestIndex(spark, buckets=3)
+    first = spark.createDataFrame([(i, f"text {i}", "x") for i in range(200)], SCHEMA)
+    later = spark.createDataFrame([(500 + i, f"text{150 + i}", "x") for i in range(100)], SCHEMA)
+    kept = lambda df, name, at=index: sum(r.kept for r in X.dedup(df, at, name=name).collect())
+    assert kept(first, "monday") == 200
+    assert kept(first, "monday") == 200
+    assert kept(later, "tuesday") == 50
+    again = X.DigestIndex(spark, index.path)
+    assert [kept(first, "monday", again), kept(later, "tuesday", again), kept(first, "wednesday", again)] == [200, 50, 0]
+    assert again.rows().count() == 250
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("digest_index_", "fresh_digest"))]
+
+
+def test_a_job_that_fails_after_it_appended_is_run_again(spark):
+    index = X.DigestIndex(spark, buckets=2)
+    rows = spark.createDataFrame([(1, "one", "x"), (2, "o ne", "x"), (3, "two", "x")], SCHEMA)
+    index.append(X.digests(rows), "job")
+    index.append(X.digests(rows.limit(0)), "other")
+    out = sorted((r.doc_id, r.keep_id, r.kept) for r in X.dedup(rows.repartition(3), index, name="job").collect())
+    assert out == [(1, 2, False), (2, 2, True), (3, 3, True)]
+    with pytest.raises(ValueError):
+        index.append(X.digests(rows), "a'b")
+
+
+def test_rows_that_differ_elsewhere_only(spark):
+    rows = [(1, "same", "b"), (1, "same", "a"), (1, "same", None), (2, "other", "z")]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(n)
+        assert sorted(map(str, X.keep_first(df).collect())) == sorted(map(str, spark.createDataFrame([(1, "same", "a"), (2, "other", "z")], SCHEMA).collect()))
 
 
 def test_a_reopened_index_keeps_its_buckets(spark):
