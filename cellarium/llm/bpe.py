@@ -1,38 +1,44 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton is deterministic over tokens and accepts exactly the token
-sequences that BPE makes.  It starts as one state with a loop for every byte; each
-merge (a, b) -> ab is compiled in by a gadget: a state's arc for a leads from then
-on to a copy of its target without the arc for b, and every state from which a then
-b could be read gets an arc for ab to where b led.  The state behind an arc is
-thereby settled by the arc's token, and the gadgets give, for a state t and a token
-u, when the arc (t, u) came into being and when it was taken away:
-
-* byte states have arcs for all bytes from time 0;
-* the gadget of u = (u1, u2) at time r gives state t an arc for u if t then has u1;
-* the gadget of t = (t1, t2) makes state t a copy of state t2 of that time;
-* the gadget of (t, u) takes the arc (t, u) away.
-
-Time is the rank of the merge.  50,000 states with up to 50,000 arcs each don't fit
-in memory as a full table, so an arc is worked out from the gadgets when it is first
-asked for and then kept in the transition table.
-
-A word is encoded by running the automaton over its bytes, longest arc first and
-back where no arc leads on.  Each position has one accepted path, since BPE makes one
-sequence of every prefix, so none is looked at twice.  Words that come again are read
-from a bounded table.  Decoding emits the arc labels: the bytes of each token.
+Two automata are compiled from the merges.
+
+1. Over tokens.  It accepts exactly the token sequences that BPE makes.  It starts as one state with a loop for
+   every byte; each merge (a, b) -> ab is compiled in by a gadget: a state's arc for a leads from then
+   on to a copy of its target without the arc for b, and every state from which a then
+   b could be read gets an arc for ab to where b led.  The state behind an arc is
+   thereby settled by the arc's token, and the gadgets give, for a state t and a token
+   u, when the arc (t, u) came into being and when it was taken away:
+
+   * byte states have arcs for all bytes from time 0;
+   * the gadget of u = (u1, u2) at time r gives state t an arc for u if t then has u1;
+   * the gadget of t = (t1, t2) makes state t a copy of state t2 of that time;
+   * the gadget of (t, u) takes the arc (t, u) away.
+
+   Time is the rank of the merge.  A table of 50,000 states with up to 50,000 arcs each has no room in a worker:
+   the gadgets themselves are the table, and an arc is read off them.
+2. Over bytes.  Since BPE makes one sequence of every prefix of a word, a prefix has one last token.  A state is the
+   node that the prefix has in the Aho-Corasick automaton of the tokens' bytes, together with the last tokens of
+   the prefixes that end within that node's depth.  The next byte gives the next node; of the tokens that end
+   there exactly one has an arc from the last token of what stands before it, and that is the last
+   token of the longer prefix.  The transition is deterministic and goes into a table, where all words that come by find it.
+
+A word is encoded by one walk over its bytes in that table, without search or steps back; its
+tokens are the arc labels, read from the end: the last token, then the last token of what is before it.
+Words that come again are read from a bounded table.  Decoding emits the arc labels, too: the bytes of each token.
 
 Texts are split into words by the pattern of the vocabulary; its added tokens are
 cut out first, as the tokenizers library does.
 
 Cases: null texts are empty and give no token; words of any length take memory in
-proportion to the word; invalid UTF-8 can't occur in a Spark string column.
+proportion to the word; a byte that the vocabulary lacks gives no token and ends what can follow it;
+invalid UTF-8 can't occur in a Spark string column.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,9 +47,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellarium.llm.common import bounded_batches, documents, worker_cache
 
-#: Words whose tokens a worker keeps; and arcs of its transition table.
+#: Words whose tokens a worker keeps; arcs over tokens, and states over bytes: full tables are begun anew.
 KEPT_WORDS = 250_000
 KEPT_ARCS = 500_000
+KEPT_STATES = 250_000
 #: Longer words are not kept.
 KEPT_LENGTH = 64
 
@@ -62,7 +69,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Automaton:
-    """The compiled gadgets and the transition table."""
+    """The compiled gadgets, and the transition table over bytes."""
 
     def __init__(self, vocabulary: str):
         """``vocabulary``: the JSON of a byte-level BPE tokenizer."""
@@ -83,7 +90,6 @@ class Automaton:
             self.gadget[a, b] = r
             if ab not in self.rank:
                 self.rank[ab], self.parts[ab] = r, (a, b)
-        self.longest = max(map(len, self.label.values()))
         added = sorted(spec.get("added_tokens", []), key=lambda x: -len(x["content"]))
         self.added = {x["content"]: x["id"] for x in added}
         self.label |= {x["id"]: x["content"].encode() for x in added}
@@ -91,6 +97,8 @@ class Automaton:
         self.words = regex.compile(PATTERN)
         self.arcs: dict[int, bool] = {}
         self.token = {label: i for label, i in self.token.items() if self._sound(i)}
+        self._compile_bytes()
+        self._begin_states()
         self.kept: dict[str, str] = {}
         self.first: dict[str, str] = {}
         self.after_space: dict[str, str] = {}
@@ -125,33 +133,91 @@ class Automaton:
                 # The arc for u: only where the left part's arc outlived the gadget's own cut.
                 t, u, time = t, self.parts[u][0], came_u + 1
 
+    def _compile_bytes(self) -> None:
+        """The Aho-Corasick automaton of the tokens: children and failure of each node, its depth, its own token, and the next node with one."""
+        child: list[dict[int, int]] = [{}]
+        own, depth = [-1], [0]
+        for label, u in self.token.items():
+            node = 0
+            for byte in label:
+                below = child[node].get(byte)
+                if below is None:
+                    below = child[node][byte] = len(child)
+                    child.append({})
+                    own.append(-1)
+                    depth.append(depth[node] + 1)
+                node = below
+            own[node] = u
+        fail, shorter = [0] * len(child), [0] * len(child)
+        queue = deque(child[0].values())
+        while queue:
+            node = queue.popleft()
+            for byte, below in child[node].items():
+                other = fail[node]
+                while other and byte not in child[other]:
+                    other = fail[other]
+                fail[below] = child[other].get(byte, 0)
+                queue.append(below)
+            shorter[node] = fail[node] if own[fail[node]] >= 0 else shorter[fail[node]]
+        self.child, self.fail, self.depth, self.own, self.shorter = child, fail, depth, own, shorter
+        self.size = {u: len(label) for u, label in self.label.items()}
+
+    def _begin_states(self) -> None:
+        """State 0 is the empty prefix.  ``lasts[s]``: the last tokens of the prefixes within the depth, the longest prefix last; -1 is the empty one's."""
+        self.steps: dict[int, int] = {}
+        self.states: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
+        self.node: list[int] = [0]
+        self.lasts: list[tuple[int, ...]] = [(-1,)]
+        self.last: list[int] = [-1]
+
+    def _step(self, state: int, byte: int) -> int:
+        """The transition that the table lacks."""
+        node, child, fail = self.node[state], self.child, self.fail
+        while node and byte not in child[node]:
+            node = fail[node]
+        node = child[node].get(byte, 0)
+        lasts, has_arc = self.lasts[state], self.has_arc
+        at, last = (node if self.own[node] >= 0 else self.shorter[node]), -2
+        while at:
+            # The prefix before the token is as many steps back as the token has bytes.
+            u, before = self.own[at], lasts[-self.depth[at]]
+            if before == -1 or (before >= 0 and has_arc(before, u)):
+                last = u
+                break
+            at = self.shorter[at]
+        reach = self.depth[node]
+        key = (node, (*lasts[len(lasts) - reach :], last) if reach else (last,))
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = len(self.node)
+            self.node.append(node)
+            self.lasts.append(key[1])
+            self.last.append(last)
+        self.steps[state << 8 | byte] = found
+        return found
+
     def encode_word(self, word: bytes) -> list[int]:
-        n = len(word)
-        token, has_arc, longest = self.token, self.has_arc, self.longest
-        whole = token.get(word)
+        whole = self.token.get(word)
         if whole is not None:
             return [whole]
-        # The path of the automaton, longest arcs first.  A position is reached on one path only, so
-        # one from which the end can't be reached is dead whatever comes before it.
-        path: list[int] = []
-        ends = [0]
-        dead = bytearray(n + 1)
-        at, stop = 0, min(n, longest)
-        while at < n:
-            for end in range(stop, at, -1):
-                u = token.get(word[at:end])
-                if u is not None and not dead[end] and (not path or has_arc(path[-1], u)):
-                    path.append(u)
-                    ends.append(end)
-                    at, stop = end, min(n, end + longest)
-                    break
-            else:
-                dead[at] = 1
-                stop = at - 1
-                path.pop()
-                ends.pop()
-                at = ends[-1]
-        return path
+        if len(self.node) >= KEPT_STATES:
+            self._begin_states()
+        state, steps, last = 0, self.steps, self.last
+        lasts = []
+        for byte in word:
+            below = steps.get(state << 8 | byte)
+            state = self._step(state, byte) if below is None else below
+            lasts.append(last[state])
+        out, at, size = [], len(word), self.size
+        while at > 0:
+            u = lasts[at - 1]
+            if u < 0:
+                at -= 1
+                continue
+            out.append(u)
+            at -= size[u]
+        out.reverse()
+        return out
 
     def _sound(self, u: int) -> bool:
         """Whether any state ever gets an arc for u: its parts could follow each other when it was made."""

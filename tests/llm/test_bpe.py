@@ -47,12 +47,36 @@ def test_decoding_is_the_librarys(machine, library):
 def test_full_tables_change_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
     monkeypatch.setattr(bpe, "KEPT_ARCS", 5)
+    monkeypatch.setattr(bpe, "KEPT_STATES", 7)
     with open(bpe.default_vocabulary(), encoding="utf-8") as f:
         small = bpe.Automaton(f.read())
     for text in TEXTS[:120]:
         assert ids(small, text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_one_last_token_for_every_prefix(machine, library):
+    """The automaton over bytes is deterministic: of the tokens that end at a place exactly one has an arc."""
+    for text in TEXTS[20:160]:
+        for word in machine.words.findall(text)[:5]:
+            data = word.encode()[:40]
+            last = [-1]
+            for end in range(1, len(data) + 1):
+                fits = [u for n in range(1, end + 1) if (u := machine.token.get(data[end - n : end])) is not None and (n == end or machine.has_arc(last[end - n], u))]
+                assert len(fits) == 1
+                last += fits
+            state = 0
+            for place, byte in enumerate(data, 1):
+                state = machine.steps[state << 8 | byte] if state << 8 | byte in machine.steps else machine._step(state, byte)
+                assert machine.last[state] == last[place]
+
+
+def test_a_table_is_walked_once_it_is_there(machine, monkeypatch):
+    words = [b" unforgettably", b"zzzzqqxx", "ütäö".encode() * 9]
+    first = [machine.encode_word(w) for w in words]
+    monkeypatch.setattr(machine, "_step", None)
+    assert [machine.encode_word(w) for w in words] == first
+
+
 def test_documents(spark, library):
     rows = [(1, None, "x"), (2, "", "y"), (2, "the the", "z"), (2, "the the", "z"), (None, "Ünï", "w"), (5, "long " * 40000, "v")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
