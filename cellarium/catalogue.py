@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from cellarium.operators.scan import ScanSpec, Table
 from cellarium.plans import filters as A
 from cellarium.plans import text as filter_text
 from cellarium.plans.compiler import filter_cells, filter_typed
-from cellarium.sources import delimited, transfer
+from cellarium.sources import delimited, store, transfer
 from cellarium.sources.records import read_table
 from cellarium.streaming import edits
 
@@ -89,7 +90,9 @@ def events_table(spark: SparkSession, folder: str) -> Table:
 
 
 def parts_table(spark: SparkSession, folder: str) -> Table:
-    return Table(part_cells(spark, folder), tombstones=False, ties=False)
+    """The parts' cells as a stored table in ranges of row keys; made when it is first asked for."""
+    files = store.stored(spark, "part-cells", f"{folder}/part.parquet", lambda: part_cells(spark, folder), "rowkey", ["family", "qualifier"])
+    return Table.of_files(files, tombstones=False, ties=False)
 
 
 # ---- range queries ------------------------------------------------------------------------------
@@ -137,6 +140,16 @@ def _(s, d):
     return ranges.range_query(orders(s, d), ranges.between("o_totalprice", 3000.0, 495000.0).complement(), ORDER_COLUMNS)
 
 
+@register("range_complement_bare", "SELECT o_orderkey, o_orderstatus FROM orders WHERE nullif(o_orderstatus, 'F') IS NOT NULL AND o_orderkey % 7 = 0")
+def _(s, d):
+    """What is outside a range of all values is nothing; what is outside of that is every row with a value."""
+    rows = orders(s, d).withColumn("o_orderstatus", F.nullif(F.col("o_orderstatus"), F.lit("F"))).filter("o_orderkey % 7 = 0")
+    bare = ranges.Range("o_orderstatus")
+    outside = ranges.range_query(rows, bare.complement(), ["o_orderkey", "o_orderstatus"])
+    again = ranges.range_query(rows, bare.complement()[0][0].complement(), ["o_orderkey", "o_orderstatus"])
+    return again.unionAll(outside)
+
+
 @register("select_text", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice >= 490000.5 OR (o_orderstatus = 'P' AND o_totalprice < 9000 AND o_custkey >= 100)")
 def _(s, d):
     text = "SELECT o_orderkey, f:o_orderstatus FROM orders WHERE o_totalprice >= 490000.5 OR (o_orderstatus = 'P' AND o_totalprice < 9000 AND o_custkey >= 100)"
@@ -192,17 +205,7 @@ def _(s, d):
     return parts_table(s, d).get("00000042").select(*CELL)
 
 
-@register(
-    "multi_get",
-    f"WITH {PT}, k AS (SELECT DISTINCT lpad(CAST(l_partkey + 100000 * (l_linenumber % 2) AS VARCHAR), 8, '0') AS rowkey FROM lineitem WHERE l_orderkey < 50) SELECT k.rowkey, family, qualifier, value FROM k LEFT JOIN pc ON k.rowkey = pc.rowkey",
-)
-def _(s, d):
-    k = read_table(s, d, "lineitem").filter("l_orderkey < 50").select(codec.integer_key(F.col("l_partkey") + 100000 * (F.col("l_linenumber") % 2), 8).alias("k")).distinct()
-    return parts_table(s, d).multi_get(k, "k").select(*CELL)
-
-
-#: As multi_get, of the keys of all of lineitem.
-@register("multi_get_whole", f"WITH {PT}, k AS (SELECT DISTINCT lpad(CAST(l_partkey + 100000 * (l_linenumber % 2) AS VARCHAR), 8, '0') AS rowkey FROM lineitem) SELECT k.rowkey, family, qualifier, value FROM k LEFT JOIN pc ON k.rowkey = pc.rowkey")
+@register("multi_get", f"WITH {PT}, k AS (SELECT DISTINCT lpad(CAST(l_partkey + 100000 * (l_linenumber % 2) AS VARCHAR), 8, '0') AS rowkey FROM lineitem) SELECT k.rowkey, family, qualifier, value FROM k LEFT JOIN pc ON k.rowkey = pc.rowkey")
 def _(s, d):
     k = read_table(s, d, "lineitem").select(codec.integer_key(F.col("l_partkey") + 100000 * (F.col("l_linenumber") % 2), 8).alias("k")).distinct()
     return parts_table(s, d).multi_get(k, "k").select(*CELL)
@@ -218,18 +221,7 @@ def _(s, d):
     return parts_table(s, d).row_or_before("00000099x", "d").select(*CELL)
 
 
-@register(
-    "as_of_rows",
-    "SELECT e.event_id, max(o.o_orderkey) AS o_orderkey FROM events e LEFT JOIN orders o ON o.o_orderkey * 3 <= e.event_id WHERE e.event_id < 2000 GROUP BY e.event_id",
-)
-def _(s, d):
-    keys = read_table(s, d, "events").filter("event_id < 2000").select("event_id")
-    rows = orders(s, d).select((F.col("o_orderkey") * 3).alias("at"), "o_orderkey")
-    return scan.as_of(keys, rows, "at", "event_id").select("event_id", F.col("match.o_orderkey").alias("o_orderkey"))
-
-
-#: As as_of_rows, of all events.
-@register("as_of_rows_whole", "SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_orderkey, o_orderkey * 3 AS at FROM orders) o ON e.event_id >= o.at")
+@register("as_of_rows", "SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_orderkey, o_orderkey * 3 AS at FROM orders) o ON e.event_id >= o.at")
 def _(s, d):
     rows = orders(s, d).select((F.col("o_orderkey") * 3).alias("at"), "o_orderkey")
     return scan.as_of(read_table(s, d, "events").select("event_id"), rows, "at", "event_id").select("event_id", F.col("match.o_orderkey").alias("o_orderkey"))
@@ -307,7 +299,7 @@ A.register_filter("EvenLengthFilter", lambda rowkey, family, qualifier, ts, valu
 _cells_query("user_filter", "EvenLengthFilter()", "length(value) % 2 = 0")
 
 
-@register("random_row")
+@register("random_row", f"WITH {PT} SELECT rowkey, family, qualifier, value FROM pc WHERE CAST('0x' || substr(md5(rowkey || '/5'), 1, 13) AS BIGINT) / 4503599627370496.0 < 0.3")
 def _(s, d):
     return parts_table(s, d).scan(filter=A.RandomRowFilter(0.3, 5)).select(*CELL)
 
@@ -317,43 +309,22 @@ def _(s, d):
     return events_table(s, d).scan(filter="TimestampsFilter(3, 50, 700)", max_versions=None).select(*VERSION)
 
 
-@register(
-    "dependent_column",
-    "WITH c AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS rowkey, l_returnflag AS qualifier, CAST(l_linenumber AS BIGINT) AS ts, l_linestatus AS value FROM lineitem WHERE l_orderkey < 3000) SELECT rowkey, qualifier, ts, value FROM c WHERE EXISTS (SELECT * FROM c r WHERE r.rowkey = c.rowkey AND r.ts = c.ts AND r.qualifier = 'A')",
-)
-def _(s, d):
-    li = read_table(s, d, "lineitem").filter("l_orderkey < 3000")
-    c = cells.as_cells(li, codec.integer_key(F.col("l_orderkey"), 8), F.lit("f"), F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_linestatus"))
-    return filter_cells(c, filter_text.parse("DependentColumnFilter('f', 'A')")).select("rowkey", "qualifier", "ts", "value")
-
-
-@register(
-    "dependent_column_drop",
-    "WITH c AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS rowkey, l_returnflag AS qualifier, CAST(l_linenumber AS BIGINT) AS ts, l_linestatus AS value FROM lineitem WHERE l_orderkey < 3000) SELECT rowkey, qualifier, ts, value FROM c WHERE qualifier <> 'A' AND EXISTS (SELECT * FROM c r WHERE r.rowkey = c.rowkey AND r.ts = c.ts AND r.qualifier = 'A' AND r.value = 'F')",
-)
-def _(s, d):
-    li = read_table(s, d, "lineitem").filter("l_orderkey < 3000")
-    c = cells.as_cells(li, codec.integer_key(F.col("l_orderkey"), 8), F.lit("f"), F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_linestatus"))
-    return filter_cells(c, filter_text.parse("DependentColumnFilter('f', 'A', true, =, 'binary:F')")).select("rowkey", "qualifier", "ts", "value")
-
-
 LC = """c AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS rowkey, l_returnflag AS qualifier, CAST(l_linenumber AS BIGINT) AS ts, l_linestatus AS value FROM lineitem)"""
 
 
-def _dependent_whole(s: SparkSession, d: str, f: str) -> DataFrame:
-    """As dependent_column, of all of lineitem."""
+def _dependent(s: SparkSession, d: str, f: str) -> DataFrame:
     c = cells.as_cells(read_table(s, d, "lineitem"), codec.integer_key(F.col("l_orderkey"), 8), F.lit("f"), F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_linestatus"))
     return filter_cells(c, filter_text.parse(f)).select("rowkey", "qualifier", "ts", "value")
 
 
-@register("dependent_column_whole", f"WITH {LC} SELECT rowkey, qualifier, ts, value FROM c WHERE EXISTS (SELECT * FROM c r WHERE r.rowkey = c.rowkey AND r.ts = c.ts AND r.qualifier = 'A')")
+@register("dependent_column", f"WITH {LC} SELECT rowkey, qualifier, ts, value FROM c WHERE EXISTS (SELECT * FROM c r WHERE r.rowkey = c.rowkey AND r.ts = c.ts AND r.qualifier = 'A')")
 def _(s, d):
-    return _dependent_whole(s, d, "DependentColumnFilter('f', 'A')")
+    return _dependent(s, d, "DependentColumnFilter('f', 'A')")
 
 
-@register("dependent_column_drop_whole", f"WITH {LC} SELECT rowkey, qualifier, ts, value FROM c WHERE qualifier <> 'A' AND EXISTS (SELECT * FROM c r WHERE r.rowkey = c.rowkey AND r.ts = c.ts AND r.qualifier = 'A' AND r.value = 'F')")
+@register("dependent_column_drop", f"WITH {LC} SELECT rowkey, qualifier, ts, value FROM c WHERE qualifier <> 'A' AND EXISTS (SELECT * FROM c r WHERE r.rowkey = c.rowkey AND r.ts = c.ts AND r.qualifier = 'A' AND r.value = 'F')")
 def _(s, d):
-    return _dependent_whole(s, d, "DependentColumnFilter('f', 'A', true, =, 'binary:F')")
+    return _dependent(s, d, "DependentColumnFilter('f', 'A', true, =, 'binary:F')")
 
 
 @register("time_range_filter", f"WITH {EV} SELECT rowkey, family, qualifier, ts, value FROM ev WHERE rowkey IN (SELECT rowkey FROM ev WHERE qualifier = 'click' AND ts BETWEEN 100 AND 400) AND (qualifier <> 'click' OR ts BETWEEN 100 AND 400)")
@@ -516,7 +487,7 @@ for _name in ("max", "min", "sum", "row_count", "avg", "std"):
     }[_name]
 
     def _aggregate(s, d, name=_name):
-        out = aggregate.aggregate(part_cells(s, d), "n", "p_size").select(name)
+        out = aggregate.aggregate(part_cells(s, d), "n", "p_size", measures=(name,))
         return out.withColumn(name, F.round(name, 4)) if name in ("avg", "std") else out
 
     register(f"agg_{_name}", f"WITH {PT} SELECT {_sql} AS \"{_name}\" FROM (SELECT rowkey, CAST(value AS BIGINT) AS v FROM pc WHERE qualifier = 'p_size')")(_aggregate)
@@ -627,19 +598,7 @@ def _(s, d):
     return _latest(mutations.increment(c, known, 9, 1)).select("rowkey", "value")
 
 
-@register("append", "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS rowkey, p_brand || coalesce(t, '') AS value FROM part LEFT JOIN (SELECT l_partkey, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber, l_suppkey, l_returnflag) AS t FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_partkey) ON l_partkey = p_partkey")
-def _(s, d):
-    c = part_cells(s, d).filter("qualifier = 'p_brand'")
-    li = read_table(s, d, "lineitem").filter("l_orderkey < 3000")
-    pieces = li.select(
-        codec.integer_key(F.col("l_partkey"), 8).alias("rowkey"), F.lit("d").alias("family"), F.lit("p_brand").alias("qualifier"),
-        F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("n"), F.col("l_returnflag").alias("value"),
-    )
-    return _latest(mutations.append(c, pieces.join(c.select("rowkey"), "rowkey", "left_semi"), 9, 1)).select("rowkey", "value")
-
-
-#: As append, of all of lineitem.
-@register("append_whole", "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS rowkey, p_brand || coalesce(t, '') AS value FROM part LEFT JOIN (SELECT l_partkey, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber, l_suppkey, l_returnflag) AS t FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey")
+@register("append", "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS rowkey, p_brand || coalesce(t, '') AS value FROM part LEFT JOIN (SELECT l_partkey, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber, l_suppkey, l_returnflag) AS t FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey")
 def _(s, d):
     c = part_cells(s, d).filter("qualifier = 'p_brand'")
     pieces = read_table(s, d, "lineitem").select(
@@ -685,6 +644,36 @@ def _(s, d):
     return mutations.major_compact(_marked(s, d)).select(*VERSION)
 
 
+KEPT = f"""{EV}, m AS (SELECT * FROM ev WHERE ts % 37 = 0), k AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY rowkey, qualifier ORDER BY ts DESC) <= 40)"""
+SEEN = """NOT EXISTS (SELECT * FROM m WHERE m.ts < 500 AND m.rowkey = e.rowkey AND m.qualifier = 'click' AND e.ts <= m.ts)
+    AND NOT EXISTS (SELECT * FROM m WHERE m.ts < 500 AND m.rowkey = e.rowkey AND m.qualifier = e.qualifier AND m.qualifier = 'view' AND e.ts <= m.ts)
+    AND NOT EXISTS (SELECT * FROM m WHERE m.ts < 500 AND m.rowkey = e.rowkey AND m.qualifier = e.qualifier AND m.qualifier NOT IN ('click', 'view') AND e.ts = m.ts)"""
+
+
+def _kept(s: SparkSession, d: str) -> Table:
+    families = {"e": FamilySpec(max_versions=40, keep_deleted=True)}
+    return Table(mutations.major_compact(_marked(s, d), families), families)
+
+
+@register("compacted_time_travel", f"WITH {KEPT} SELECT rowkey, family, qualifier, ts, value FROM k e WHERE ts < 500 AND {SEEN}")
+def _(s, d):
+    """A read of a time before most deletions, after a compaction."""
+    return _kept(s, d).scan(max_versions=None, time_max=500).select(*VERSION)
+
+
+@register(
+    "compacted_kept",
+    f"""WITH {KEPT} SELECT rowkey, qualifier, ts, 4 AS type FROM k
+    UNION ALL SELECT rowkey, qualifier, ts, CASE qualifier WHEN 'click' THEN 14 WHEN 'view' THEN 12 ELSE 8 END FROM m
+    WHERE CASE qualifier WHEN 'click' THEN EXISTS (SELECT * FROM k WHERE k.rowkey = m.rowkey AND k.ts <= m.ts)
+      WHEN 'view' THEN EXISTS (SELECT * FROM k WHERE k.rowkey = m.rowkey AND k.qualifier = m.qualifier AND k.ts <= m.ts)
+      ELSE EXISTS (SELECT * FROM k WHERE k.rowkey = m.rowkey AND k.qualifier = m.qualifier AND k.ts = m.ts) END""",
+)
+def _(s, d):
+    """All that a compaction leaves where deleted cells are kept: versions, and the tombstones that mask one of them."""
+    return _kept(s, d).cells.select("rowkey", "qualifier", "ts", F.col("type").cast("int").alias("type"))
+
+
 @register("constraints", f"WITH {PT} SELECT rowkey, qualifier, 'small' AS broken FROM pc WHERE family = 'n' AND qualifier = 'p_size' AND CAST(value AS BIGINT) > 40")
 def _(s, d):
     rule = hooks.Constraint("small", (F.col("qualifier") != "p_size") | (F.col("value").try_cast("bigint") <= 40), "n")
@@ -702,43 +691,47 @@ def _(s, d):
 # ---- indexes ------------------------------------------------------------------------------------
 
 
-def _indexes(base: DataFrame) -> dict[str, DataFrame]:
-    return {c: indexes.build(base, indexes.IndexSpec(c), "o_orderkey") for c in ("o_totalprice", "o_orderpriority", "o_custkey")}
+def _index(s: SparkSession, d: str, column: str, kind: str = "secondary", include: tuple[str, ...] = ()) -> tuple[indexes.IndexSpec, store.KeyedFiles]:
+    spec = indexes.IndexSpec(column, kind, include)
+    return spec, indexes.stored_index(s, f"{d}/orders.parquet", spec, "o_orderkey")
+
+
+def _hits(s: SparkSession, d: str, conjunct: list[ranges.Range]) -> dict[str, DataFrame]:
+    """For each range the part of its stored index that can hold it."""
+    return {r.column: indexes.of_conjunct(_index(s, d, r.column)[1], [r]) for r in conjunct}
 
 
 @register("index_intersect", f"SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE {_bench_sql(2).replace(' AND o_orderdate >= TIMESTAMP ' + chr(39) + '1997-03-10 00:00:00' + chr(39), '')}")
 def _(s, d):
-    base = orders(s, d)
     conjunct = [ranges.between("o_totalprice", 20000.0, 45000.0), ranges.where("o_orderpriority", "=", "3-MEDIUM")]
-    return indexes.intersect_lookup(base, _indexes(base), conjunct, "o_orderkey").select(*ORDER_COLUMNS)
+    return indexes.intersect_lookup(orders(s, d), _hits(s, d, conjunct), conjunct, "o_orderkey").select(*ORDER_COLUMNS)
 
 
 @register("index_union", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 470000 OR o_custkey < 40")
 def _(s, d):
-    base = orders(s, d)
-    return indexes.union_lookup(base, _indexes(base), [ranges.where("o_totalprice", ">", 470000.0), ranges.where("o_custkey", "<", 40)], "o_orderkey").select(*ORDER_COLUMNS)
+    either = [ranges.where("o_totalprice", ">", 470000.0), ranges.where("o_custkey", "<", 40)]
+    return indexes.union_lookup(orders(s, d), _hits(s, d, either), either, "o_orderkey").select(*ORDER_COLUMNS)
 
 
 @register("index_covering", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000")
 def _(s, d):
-    base = orders(s, d)
-    spec = indexes.IndexSpec("o_totalprice", "covering", ("o_orderpriority",))
-    return indexes.lookup(base, indexes.build(base, spec, "o_orderkey"), spec, [ranges.between("o_totalprice", 100000.0, 120000.0)], "o_orderkey", ORDER_COLUMNS)
+    spec, files = _index(s, d, "o_totalprice", "covering", ("o_orderpriority",))
+    conjunct = [ranges.between("o_totalprice", 100000.0, 120000.0)]
+    return indexes.lookup(orders(s, d), indexes.of_conjunct(files, conjunct), spec, conjunct, "o_orderkey", ORDER_COLUMNS)
 
 
 @register("index_semi_join", "SELECT o_orderkey, o_totalprice, o_custkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000 AND o_custkey >= 500")
 def _(s, d):
-    base = orders(s, d)
-    spec = indexes.IndexSpec("o_totalprice")
+    spec, files = _index(s, d, "o_totalprice")
     conjunct = [ranges.between("o_totalprice", 100000.0, 120000.0), ranges.where("o_custkey", ">=", 500)]
-    return indexes.lookup(base, indexes.build(base, spec, "o_orderkey"), spec, conjunct, "o_orderkey", ["o_orderkey", "o_totalprice", "o_custkey"])
+    return indexes.lookup(orders(s, d), indexes.of_conjunct(files, conjunct), spec, conjunct, "o_orderkey", ["o_orderkey", "o_totalprice", "o_custkey"])
 
 
 @register("index_clustered", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice BETWEEN 20000 AND 45000")
 def _(s, d):
-    base = orders(s, d)
-    spec = indexes.IndexSpec("o_totalprice", "clustered")
-    return indexes.lookup(base, indexes.build(base, spec, "o_orderkey"), spec, [ranges.between("o_totalprice", 20000.0, 45000.0)], "o_orderkey", ORDER_COLUMNS)
+    spec, files = _index(s, d, "o_totalprice", "clustered")
+    conjunct = [ranges.between("o_totalprice", 20000.0, 45000.0)]
+    return indexes.lookup(orders(s, d), indexes.of_conjunct(files, conjunct), spec, conjunct, "o_orderkey", ORDER_COLUMNS)
 
 
 @register("index_chosen", f"SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE {_bench_sql(4)}")
@@ -748,8 +741,32 @@ def _(s, d):
     catalog.add(indexes.IndexSpec("o_totalprice", "clustered"))
     catalog.add(indexes.IndexSpec("o_orderpriority"))
     catalog.statistics["o_totalprice"] = indexes.histogram(base, "o_totalprice", 0.0, 600000.0, 100)
-    built = {c: indexes.build(base, spec, "o_orderkey") for c, spec in catalog.specs.items()}
-    return catalog.query(base, built, [_bench_ranges(4)], ORDER_COLUMNS)
+    conjunct = _bench_ranges(4)
+    built = {c: indexes.of_conjunct(_index(s, d, c, spec.kind)[1], conjunct) for c, spec in catalog.specs.items()}
+    return catalog.query(base, built, [conjunct], ORDER_COLUMNS)
+
+
+def _broken_index(base: DataFrame) -> DataFrame:
+    """An index without some rows, with some wrong values and some rows that are no more."""
+    wrong = F.when(F.col("o_orderkey") % 50 == 1, -1.0).otherwise(F.col("o_totalprice"))
+    return base.filter("o_orderkey % 50 <> 0").withColumn("o_totalprice", wrong).unionByName(base.filter("o_orderkey % 50 = 2").withColumn("o_orderkey", -F.col("o_orderkey")))
+
+
+@register("index_repaired", "SELECT o_totalprice, o_orderkey FROM orders")
+def _(s, d):
+    base = orders(s, d).select("o_totalprice", "o_orderkey")
+    return indexes.repair(base, _broken_index(base), indexes.IndexSpec("o_totalprice"), "o_orderkey")
+
+
+@register("index_cleared", "SELECT o_totalprice, o_orderkey FROM orders WHERE o_orderkey % 50 > 1")
+def _(s, d):
+    base = orders(s, d).select("o_totalprice", "o_orderkey")
+    return indexes.clear(base, _broken_index(base), indexes.IndexSpec("o_totalprice"), "o_orderkey")
+
+
+@register("index_consistency", "SELECT o_orderkey, 'o_custkey' AS \"column\", CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders")
+def _(s, d):
+    return indexes.consistency(orders(s, d), [indexes.IndexSpec("o_custkey"), indexes.IndexSpec("o_orderpriority")], "o_orderkey")
 
 
 @register("index_check", "SELECT o_orderkey, 'missing' AS state FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT o_orderkey, 'stale' FROM orders WHERE o_orderkey % 50 = 1")
@@ -766,11 +783,38 @@ def _(s, d):
     return indexes.histogram_rows(orders(s, d), "o_totalprice", 0.0, 600000.0, 100)
 
 
-@register("histogram_estimate", "SELECT count(*) AS estimate FROM orders WHERE o_totalprice >= 60000 AND o_totalprice < 120000")
+@register(
+    "histogram_estimate",
+    """WITH r AS (SELECT greatest(1, least(100, CAST(floor(o_totalprice / 5000.0) AS BIGINT) + 1)) AS b, o_totalprice AS v FROM orders), h AS (SELECT b, count(*) AS n FROM r GROUP BY b),
+    e AS (SELECT h.b, n, CASE WHEN h.b = 1 THEN least(0.0, (SELECT min(v) FROM r)) ELSE (h.b - 1) * 5000.0 END AS lo, CASE WHEN h.b = 100 THEN greatest(500000.0, (SELECT max(v) FROM r)) ELSE h.b * 5000.0 END AS hi FROM h)
+    SELECT name, CAST(round(sum(n * greatest(0.0, least(hi, y) - greatest(lo, x)) / (hi - lo))) AS BIGINT) AS estimate
+    FROM e, (VALUES ('inside', 61234.5, 118765.25), ('one bucket', 20100.0, 20200.0), ('beyond the end', 499000.0, 9000000.0), ('nothing', -50.0, -20.0)) AS q(name, x, y) GROUP BY name""",
+)
+def _(s, d):
+    """Ranges that begin and end inside buckets, and beyond the last one."""
+    h = indexes.histogram(orders(s, d), "o_totalprice", 0.0, 500000.0, 100)
+    asked = {"inside": (61234.5, 118765.25), "one bucket": (20100.0, 20200.0), "beyond the end": (499000.0, 9000000.0), "nothing": (-50.0, -20.0)}
+    rows = [(name, int(h.estimate(ranges.Range("o_totalprice", ((">=", x), ("<=", y)))) + 0.5)) for name, (x, y) in asked.items()]
+    return s.createDataFrame(rows, "name string, estimate bigint")
+
+
+@register(
+    "histogram_equality",
+    "WITH h AS (SELECT p_size // 10 AS b, count(*) AS n, count(DISTINCT p_size) AS v FROM part WHERE p_size < 50 GROUP BY 1) SELECT b * 10 + 5 AS size, CAST(round(n * 100 / v) AS BIGINT) AS hundredths FROM h UNION ALL SELECT 777, 0",
+)
+def _(s, d):
+    """One value is expected to have its bucket's rows by the bucket's distinct values, a value beyond all none."""
+    h = indexes.histogram(read_table(s, d, "part").filter("p_size < 50"), "p_size", 0.0, 50.0, 5)
+    rows = [(v, int(100 * h.estimate(ranges.where("p_size", "=", v)) + 0.5)) for v in (5, 15, 25, 35, 45, 777)]
+    return s.createDataFrame(rows, "size int, hundredths bigint")
+
+
+@register("histogram_merged", "SELECT greatest(1, least(20, CAST(floor(o_totalprice / 30000.0) AS BIGINT) + 1)) AS bucket, count(*) AS n FROM orders GROUP BY 1")
 def _(s, d):
-    h = indexes.histogram(orders(s, d), "o_totalprice", 0.0, 600000.0, 100)
-    n = h.estimate(ranges.Range("o_totalprice", ((">=", 60000.0), ("<", 120000.0))))
-    return s.createDataFrame([(int(round(n)),)], "estimate bigint")
+    """Statistics of two halves of a table, merged."""
+    halves = [indexes.histogram(orders(s, d).filter(f"o_orderkey % 2 = {k}"), "o_totalprice", 0.0, 600000.0, 20) for k in (0, 1)]
+    merged = halves[0].merge(halves[1])
+    return s.createDataFrame([(i, n) for i, n in enumerate(merged.counts, 1) if n], "bucket bigint, n bigint")
 
 
 @register("set_statistics", "SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') GROUP BY 1")
@@ -869,7 +913,6 @@ def _(s, d):
     source = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     value = F.round(F.col("value") * 100).cast("long").cast("string")
     stream = cells.as_cells(source, codec.integer_key(F.col("user_id"), 8), F.lit("e"), F.col("event_type"), F.col("event_id"), value)
-    name = "stream_latest_values"
-    q = edits.latest_values(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name).select(*VERSION)
+    root = f"{store.shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    edits.latest_to_files(stream, f"{root}/latest", f"{root}/marks").awaitTermination()
+    return edits.read_latest(s, f"{root}/latest").select(*VERSION)

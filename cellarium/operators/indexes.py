@@ -7,6 +7,7 @@ chosen; a sorted copy lets Parquet skip row groups that the table would have to
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
@@ -15,7 +16,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.operators.ranges import Dnf, Range, predicate
+from cellarium.operators.ranges import NEVER, Dnf, Range, predicate
+from cellarium.sources.store import KeyedFiles, stored
 
 
 @dataclass(frozen=True)
@@ -77,48 +79,93 @@ def split_stale(base: DataFrame, index: DataFrame, spec: IndexSpec, key: str) ->
     return stale, missing
 
 
+def repair(base: DataFrame, index: DataFrame, spec: IndexSpec, key: str) -> DataFrame:
+    """The index without entries that the base lacks or contradicts, and with those that it has."""
+    fresh = base.filter(F.col(spec.column).isNotNull()).select(*index.columns)
+    return clear(base, index, spec, key).unionByName(fresh.join(index.select(key, spec.column), [key, spec.column], "left_anti").select(*index.columns))
+
+
+def clear(base: DataFrame, index: DataFrame, spec: IndexSpec, key: str) -> DataFrame:
+    """The index without entries that the base lacks or contradicts."""
+    return index.join(base.select(key, spec.column), [key, spec.column], "left_semi").select(*index.columns)
+
+
+def consistency(base: DataFrame, specs: Sequence[IndexSpec], key: str) -> DataFrame:
+    """(key, column, value): one row for each index entry that a base row should have, values as text.  To compare copies with."""
+    entries = F.array(*[F.struct(F.lit(s.column).alias("column"), F.col(s.column).cast("string").alias("value")) for s in specs])
+    return base.select(key, F.explode(entries).alias("e")).select(key, "e.column", "e.value").filter("value IS NOT NULL")
+
+
 @dataclass(frozen=True)
 class Histogram:
-    """Counts of a column: equal widths between ``low`` and ``high``, or one for each of ``values``."""
+    """Counts of a column: equal widths between ``low`` and ``high``, or one for each of ``values``.
+
+    Values at or beyond an end are in the end's bucket, which reaches as far as ``least`` or ``most``, the
+    values that are really there.  ``distinct`` has each bucket's number of distinct values, as an estimate.
+    """
 
     column: str
     low: float = 0.0
     high: float = 0.0
     counts: tuple[int, ...] = ()
     values: tuple[Any, ...] = ()
+    distinct: tuple[int, ...] = ()
+    least: float | None = None
+    most: float | None = None
+
+    def _edges(self) -> list[float]:
+        n = len(self.counts)
+        edges = [self.low + i * (self.high - self.low) / n for i in range(n)] + [self.high]
+        edges[0] = min(edges[0], self.low if self.least is None else self.least)
+        edges[-1] = max(edges[-1], self.high if self.most is None else self.most)
+        return edges
 
     def estimate(self, r: Range) -> float:
-        """Rows that the range is expected to hold; a share of a bucket counts as that share."""
+        """Rows that the range is expected to hold: of a bucket that it meets in part that share, of one value its bucket's rows by distinct values."""
         if self.values:
             keep = [all(_TEST[op](v, x) for op, x in r.tests) for v in self.values]
             return float(sum(n for n, k in zip(self.counts, keep, strict=True) if k))
-        low, high = self.low, self.high
+        total = float(sum(self.counts))
+        if not total or any(op == NEVER for op, _ in r.tests):
+            return 0.0
+        edges = self._edges()
+        low, high = edges[0], edges[-1]
         for op, v in r.tests:
             if op in (">", ">=", "="):
                 low = max(low, float(v))
             if op in ("<", "<=", "="):
                 high = min(high, float(v))
-        width = (self.high - self.low) / max(1, len(self.counts))
-        if high < low or not width:
-            return 0.0 if high < low else float(sum(self.counts))
-        total = 0.0
-        for i, n in enumerate(self.counts):
-            a, b = self.low + i * width, self.low + (i + 1) * width
-            total += n * max(0.0, min(b, high) - max(a, low)) / width
-        return total
+        if high < low:
+            return 0.0
+        excluded = sum(self._of_value(edges, float(v)) for op, v in r.tests if op == "!=")
+        if high == low:
+            return self._of_value(edges, low)
+        held = sum(n * max(0.0, min(b, high) - max(a, low)) / (b - a) for a, b, n in zip(edges, edges[1:], self.counts, strict=False) if b > a)
+        return max(0.0, held - excluded)
+
+    def _of_value(self, edges: list[float], v: float) -> float:
+        """Rows of one value; without a number of distinct values its whole bucket, which is the most it can be."""
+        if not edges[0] <= v <= edges[-1]:
+            return 0.0
+        i = min(len(self.counts) - 1, max(0, bisect_right(edges, v) - 1))
+        return self.counts[i] / max(1, self.distinct[i] if self.distinct else 1)
 
     def selectivity(self, r: Range) -> float:
         return self.estimate(r) / max(1, sum(self.counts))
 
     def merge(self, other: Histogram) -> Histogram:
+        """Both parts of a table together.  Distinct values are at least those of the part that has more."""
         if (self.column, self.low, self.high, self.values) != (other.column, other.low, other.high, other.values):
             raise ValueError("histograms of different buckets")
-        return Histogram(self.column, self.low, self.high, tuple(a + b for a, b in zip(self.counts, other.counts, strict=True)), self.values)
+        both = lambda f, a, b: None if a is None or b is None else f(a, b)
+        distinct = tuple(map(max, self.distinct, other.distinct)) if self.distinct and other.distinct else ()
+        counts = tuple(a + b for a, b in zip(self.counts, other.counts, strict=True))
+        return Histogram(self.column, self.low, self.high, counts, self.values, distinct, both(min, self.least, other.least), both(max, self.most, other.most))
 
 
 _TEST = {
     "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b,
-    ">=": lambda a, b: a >= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b,
+    ">=": lambda a, b: a >= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b, NEVER: lambda a, b: False,
 }
 
 
@@ -135,10 +182,13 @@ def histogram_rows(df: DataFrame, column: str, low: float, high: float, buckets:
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, buckets: int) -> Histogram:
-    counts = [0] * buckets
-    for r in histogram_rows(df, column, low, high, buckets).collect():  # one row for each bucket
-        counts[r["bucket"] - 1] = r["n"]
-    return Histogram(column, low, high, tuple(counts))
+    counts, distinct, least, most = [0] * buckets, [0] * buckets, None, None
+    rows = df.filter(F.col(column).isNotNull()).groupBy(bucket(F.col(column), low, high, buckets).alias("bucket"))
+    value = F.col(column).cast("double")
+    for r in rows.agg(F.count(F.lit(1)), F.approx_count_distinct(column), F.min(value), F.max(value)).collect():  # one row for each bucket
+        counts[r[0] - 1], distinct[r[0] - 1] = r[1], r[2]
+        least, most = (r[3] if least is None else min(least, r[3])), (r[4] if most is None else max(most, r[4]))
+    return Histogram(column, low, high, tuple(counts), distinct=tuple(distinct), least=least, most=most)
 
 
 def value_counts(df: DataFrame, column: str, values: Sequence[Any]) -> Histogram:
@@ -224,11 +274,23 @@ class IndexCatalog:
         return out
 
 
-def write_clustered(df: DataFrame, path: str, column: str, key: str) -> DataFrame:
-    """A clustered copy as Parquet, in ranges of ``column``, so that row groups can be skipped by its bounds."""
-    build(df, IndexSpec(column, "clustered"), key).write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
-    spark: SparkSession = df.sparkSession
-    return spark.read.parquet(path)
+def stored_index(spark: SparkSession, source: str, spec: IndexSpec, key: str) -> KeyedFiles:
+    """The index of the Parquet table at ``source``, in the shared folder: made once, in ranges of its column, and made anew when the table changes."""
+    name = source.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
+
+    def made() -> DataFrame:
+        base = spark.read.parquet(source)
+        return base.filter(F.col(spec.column).isNotNull()).select(*spec.columns(key, base.columns))
+
+    return stored(spark, "-".join(["index", name, spec.column, spec.kind, *spec.include]), source, made, spec.column, [key])
+
+
+def of_conjunct(index: KeyedFiles, conjunct: Sequence[Range]) -> DataFrame:
+    """The rows of the files of a stored index that can hold what its column's ranges ask for."""
+    low = [v for r in conjunct if r.column == index.key for op, v in r.tests if op in (">", ">=", "=")]
+    high = [v for r in conjunct if r.column == index.key for op, v in r.tests if op in ("<", "<=", "=")]
+    plain = all(not isinstance(v, Column) for v in [*low, *high])
+    return index.between(max(low, default=None), min(high, default=None)) if plain else index.rows()
 
 
 def maintain(index: DataFrame, changed: DataFrame, deleted: DataFrame, spec: IndexSpec, key: str) -> DataFrame:

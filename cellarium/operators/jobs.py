@@ -1,10 +1,10 @@
-"""Batch jobs: counts of rows and cells, grouping, and user maps over rows."""
+"""Batch jobs: counts of rows and cells, counters, grouping, sinks of several tables, and user maps over rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,26 @@ def group_key(df: DataFrame, columns: Sequence[str], name: str = "group_key") ->
     return df.dropna(subset=list(columns)).withColumn(name, F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
 
 
+def counted(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with counters: ``observation.get`` has them once an action has run over it.  Each is an aggregate of ``df``'s columns."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(n) for n, c in counters.items()]), seen
+
+
+def write_tables(rows: DataFrame, root: str, table: str = "table", mode: str = "append") -> None:
+    """A sink of several tables: each row goes to the table that its column ``table`` names, ``root``/<table>, in one pass.
+
+    Rows that name no table are an error.
+    """
+    name = F.when(F.col(table).isNull(), F.raise_error(F.lit("a row names no table"))).otherwise(F.col(table))
+    rows.withColumn(table, name).write.mode(mode).partitionBy(table).parquet(root)
+
+
+def read_written_table(spark: SparkSession, root: str, name: str, table: str = "table") -> DataFrame:
+    """One of the tables of ``write_tables``."""
+    return spark.read.option("basePath", root).parquet(root).filter(F.col(table) == name).drop(table)
+
+
 def map_rows(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """A user's map over batches of rows (pandas frames)."""
     return df.mapInPandas(function, schema)

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 #: Type names of range files, and what they read as.
 TYPES = {"SHORT": int, "INT": int, "LONG": int, "DOUBLE": float, "STRING": str, "BOOLEAN": lambda s: s.lower() == "true"}
+#: A test that no value passes.
+NEVER = "never"
 _FLIPPED = {"<": ">=", "<=": ">", ">": "<=", ">=": "<", "=": "!=", "!=": "="}
 _TESTS = {
     "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v,
     ">=": lambda c, v: c >= v, "=": lambda c, v: c == v, "!=": lambda c, v: c != v,
+    NEVER: lambda c, v: F.lit(False),
 }
 
 
@@ -32,7 +35,11 @@ class Range:
         return reduce(lambda a, b: a & b, made, F.col(self.column).isNotNull())
 
     def complement(self) -> list[list[Range]]:
-        """The rows whose column has a value outside the range, as a disjunction."""
+        """The rows whose column has a value outside the range, as a disjunction.  A range without tests holds every value: nothing is outside."""
+        if not self.tests:
+            return [[Range(self.column, ((NEVER, None),))]]
+        if any(op == NEVER for op, _ in self.tests):
+            return [[Range(self.column)]]
         return [[Range(self.column, ((_FLIPPED[op], v),))] for op, v in self.tests]
 
 
@@ -139,7 +146,7 @@ def parse_select(text: str) -> Select:
             return inner
         column, op = take(), take()
         op = {"<>": "!=", "==": "="}.get(op, op)
-        if op not in _TESTS:
+        if op not in _FLIPPED:
             raise ValueError(f"unknown operator {op}")
         return [[Range(column.rpartition(":")[2], ((op, value(take())),))]]
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.functions.buckets import bounds, bucket_of
-from cellarium.operators.cells import FamilySpec, batched
+from cellarium.operators.cells import PUT, FamilySpec, batched
 from cellarium.operators.versions import ReadPolicy, resolve
 from cellarium.plans import text as filter_text
 from cellarium.plans.compiler import filter_cells
-from cellarium.plans.filters import DependentColumnFilter, FilterList, PageFilter, SingleColumnValueFilter, SkipFilter, TimeRangeFilter
+from cellarium.plans.filters import DependentColumnFilter, FilterList, InclusiveStopFilter, PageFilter, PrefixFilter, SingleColumnValueFilter, SkipFilter, TimeRangeFilter
+from cellarium.sources.store import KeyedFiles, written
 
 #: Filters that decide on whole rows; rows can't be cut into batches before.
 ROW_FILTERS = (SingleColumnValueFilter, SkipFilter, PageFilter, DependentColumnFilter, TimeRangeFilter)
@@ -63,6 +63,16 @@ def key_range(key: Column, start: Any, stop: Any, stop_inclusive: bool = False)
     return out
 
 
+def after_prefix(prefix: str) -> str:
+    """The first key after all that begin with ``prefix``; "" if there is none."""
+    for i in range(len(prefix) - 1, -1, -1):
+        if ord(prefix[i]) < 0x10FFFF:
+            follower = ord(prefix[i]) + 1
+            # Surrogates are no characters.
+            return prefix[:i] + chr(0xE000 if 0xD800 <= follower <= 0xDFFF else follower)
+    return ""
+
+
 def column_choice(columns: Sequence[str]) -> Column:
     """Families and columns; a family takes all of its columns, whatever columns are named beside it."""
     families = [c for c in columns if ":" not in c]
@@ -76,22 +86,54 @@ def column_choice(columns: Sequence[str]) -> Column:
 
 @dataclass(frozen=True)
 class Table:
-    """Cells with the policies of their families.  ``tombstones`` and ``ties``: see ``resolve``."""
+    """Cells with the policies of their families.  ``tombstones`` and ``ties``: see ``resolve``.
+
+    ``files``: the same cells as keyed files, of which a read of a key range opens only those that meet it.
+    """
 
     cells: DataFrame
     families: dict[str, FamilySpec] = field(default_factory=dict)
     default: FamilySpec = FamilySpec(max_versions=1 << 30)
     tombstones: bool = True
     ties: bool = True
+    files: KeyedFiles | None = None
+
+    @staticmethod
+    def of_files(files: KeyedFiles, **options: Any) -> Table:
+        return Table(files.rows(), files=files, **options)
+
+    def _between(self, spec: ScanSpec) -> DataFrame:
+        here = self.files.between(spec.start, spec.stop) if self.files and (spec.start or spec.stop) else self.cells
+        return here.filter(key_range(F.col("rowkey"), spec.start, spec.stop, spec.stop_inclusive))
+
+    def _narrowed(self, spec: ScanSpec, f: Any) -> ScanSpec:
+        """A filter that bounds the keys bounds the files, too."""
+        start, stop, inclusive = spec.start, spec.stop, spec.stop_inclusive
+        for part in f.filters if isinstance(f, FilterList) and f.all else (f,):
+            if not isinstance(part, (PrefixFilter, InclusiveStopFilter)):
+                # What follows another filter sees only what that one left; pages are counted before it.
+                break
+            if isinstance(part, PrefixFilter) and part.prefix > start:
+                start = part.prefix
+            if isinstance(part, PrefixFilter) and (after := after_prefix(part.prefix)) and (not stop or after < stop):
+                stop, inclusive = after, False
+            if isinstance(part, InclusiveStopFilter) and (not stop or part.stop < stop):
+                stop, inclusive = part.stop, True
+        return replace(spec, start=start, stop=stop, stop_inclusive=inclusive)
 
     def scan(self, spec: ScanSpec | None = None, **options: Any) -> DataFrame:
         """The cells a scan returns.  A ``filter`` may be a text of the filter language."""
         spec = replace(spec or ScanSpec(), **options)
-        rows = self.cells.filter(key_range(F.col("rowkey"), spec.start, spec.stop, spec.stop_inclusive))
+        f = filter_text.parse(spec.filter) if isinstance(spec.filter, str) else spec.filter
+        rows = self._between(self._narrowed(spec, f))
         if spec.columns:
             # Tombstones of the family stay for the resolution.
             rows = rows.filter(column_choice(spec.columns) | ((F.col("type") == 14) & F.col("family").isin([c.split(":")[0] for c in spec.columns])))
-        f = filter_text.parse(spec.filter) if isinstance(spec.filter, str) else spec.filter
+        if spec.limit is not None and f is None and not self.tombstones and spec.now is None and spec.time_min is None and spec.time_max is None and not spec.raw:
+            # Every row that is there has something to show: the last key is known before anything is resolved.
+            first = rows.select("rowkey").distinct().orderBy("rowkey").limit(spec.limit)
+            rows = rows.filter(F.col("rowkey") <= first.agg(F.max("rowkey")).scalar())
+            spec = replace(spec, limit=None)
         if not spec.raw and (spec.batch is not None or (self.tombstones and _decides_rows(f))):
             # One shuffle by row serves the windows over columns and over rows.
             rows = rows.repartition("rowkey")
@@ -109,17 +151,34 @@ class Table:
     def multi_get(self, keys: DataFrame, key: str, **options: Any) -> DataFrame:
         """The cells of each row of ``keys``; a key without cells gives one row of NULLs."""
         wanted = keys.select(F.col(key).cast("string").alias("rowkey"))
-        rows = replace(self, cells=self.cells.join(wanted.distinct(), "rowkey", "left_semi")).scan(**options)
+        rows = replace(self, cells=self.cells.join(wanted.distinct(), "rowkey", "left_semi"), files=None).scan(**options)
         return wanted.join(rows, "rowkey", "left")
 
     def exists(self, rowkey: str, **options: Any) -> bool:
         return not self.get(rowkey, **options).isEmpty()
 
     def row_or_before(self, rowkey: str, family: str) -> DataFrame:
-        """The family's cells of the greatest row that is not after ``rowkey``."""
+        """The family's cells of the greatest row that is not after ``rowkey``.
+
+        Without tombstones the greatest key is found first, and only its row resolved.
+        """
+        if not self.tombstones:
+            there = self._between(ScanSpec(stop=rowkey, stop_inclusive=True)).filter((F.col("family") == family) & (F.col("type") == PUT))
+            return replace(self, cells=there.filter(F.col("rowkey") == there.agg(F.max("rowkey")).scalar()), files=None).scan(columns=(family,))
         seen = self.scan(stop=rowkey, stop_inclusive=True, columns=(family,))
         return seen.filter(F.col("rowkey") == seen.agg(F.max("rowkey")).scalar())
 
+    def cursor(self, size: int, **options: Any) -> Iterator[list[Row]]:
+        """The scan's cells in key order, at most ``size`` rows of the table at once; each step reads on from the last key."""
+        after = options.pop("start", "")
+        while True:
+            page = self.scan(start=after, limit=size, **options).orderBy("rowkey", "family", "qualifier", F.desc("ts")).collect()
+            if page:
+                yield page
+            if len({r["rowkey"] for r in page}) < size:
+                return
+            after = page[-1]["rowkey"] + "\x00"
+
     def count(self, **options: Any) -> int:
         return self.scan(**options).select("rowkey").distinct().count()
 
@@ -146,21 +205,22 @@ def salted_scan(df: DataFrame, key: str, salts: Sequence[str], start: str, stop:
 def as_of(keys: DataFrame, df: DataFrame, key: str, probe: str) -> DataFrame:
     """For each row of ``keys`` the row of ``df`` (``match``) with the greatest ``key`` not after ``probe``.
 
-    Rows of both sides are sorted together within buckets of keys; each bucket hands its last row on
-    to the next ones (one row for each bucket), so that no bucket waits for another.
+    Rows of both sides are dealt together to ranges and sorted there; each range hands its last row on
+    to the next ones (one row for each range), so that no range waits for another.  Equal keys and probes may
+    be dealt to several ranges.
     """
-    cuts = bounds(df, key, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(F.col(key).alias("_at"), F.lit(0).alias("_kind"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_at"), F.lit(0).alias("_kind"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
     asks = keys.select(F.col(probe).alias("_at"), F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in keys.columns]).alias("_ask"))
-    both = rows.unionByName(asks, allowMissingColumns=True).withColumn("_part", bucket_of(F.col("_at"), cuts))
-    inside = Window.partitionBy("_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(asks, allowMissingColumns=True).withColumn("_tie", F.monotonically_increasing_id())
+    both = written(both.repartitionByRange("_at", "_kind", "_tie").withColumn("_part", F.spark_partition_id()), "as-of")
+    inside = Window.partitionBy("_part").orderBy("_at", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_seen", F.last("_row", ignorenulls=True).over(inside))
-    ends = rows.withColumn("_part", bucket_of(F.col("_at"), cuts)).groupBy("_part").agg(F.max_by("_row", "_at").alias("_end"))
-    parts = df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_part")).join(ends, "_part", "left")
+    ends = both.groupBy("_part").agg(F.max_by("_row", F.when(F.col("_kind") == 0, F.struct("_at", "_tie"))).alias("_end"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    carried = ends.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     out = seen.filter("_kind = 1").join(F.broadcast(carried), "_part", "left")
-    return out.select("_ask.*", F.coalesce("_seen", "_carried").alias("match"))
+    # A NULL probe is before every key.
+    return out.select("_ask.*", F.when(F.col("_at").isNotNull(), F.coalesce("_seen", "_carried")).alias("match"))
 
 
 __all__ = ["ScanSpec", "Table", "as_of", "column_choice", "key_range", "multi_table", "salted_scan"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.operators.cells import DELETE, DELETE_COLUMN, DELETE_FAMILY, PUT, FamilySpec
+from cellarium.operators.cells import COORDINATES, DELETE, DELETE_COLUMN, DELETE_FAMILY, PUT, FamilySpec
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,16 @@ def _by_family(families: dict[str, FamilySpec], pick: Callable[[FamilySpec], int
     return rest if out is None else out.otherwise(rest)
 
 
+def keeps_deleted(families: dict[str, FamilySpec], default: FamilySpec) -> Column:
+    """Whether the row's family keeps deleted cells."""
+    keep = F.lit(False)
+    for name, spec in families.items():
+        keep = keep | (F.lit(spec.keep_deleted) & (F.col("family") == name))
+    if default.keep_deleted:
+        keep = keep | (~F.col("family").isin(list(families)) if families else F.lit(True))
+    return keep
+
+
 def masked_by_tombstones(cells: DataFrame, policy: ReadPolicy, families: dict[str, FamilySpec], default: FamilySpec) -> DataFrame:
     """The puts that no tombstone masks.
 
@@ -54,12 +64,7 @@ def masked_by_tombstones(cells: DataFrame, policy: ReadPolicy, families: dict[st
     a version marker masks its own time.  Of families that keep deleted cells only markers
     inside the time range count; of others also later ones.
     """
-    keep = F.lit(False)
-    for name, spec in families.items():
-        keep = keep | (F.lit(spec.keep_deleted) & (F.col("family") == name))
-    if default.keep_deleted:
-        others = ~F.col("family").isin(list(families)) if families else F.lit(True)
-        keep = keep | others
+    keep = keeps_deleted(families, default)
     counts = F.lit(True)
     if policy.time_min is not None:
         counts = counts & (F.col("ts") >= policy.time_min)
@@ -111,6 +116,12 @@ def resolve(
         return seen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= policy.max_versions).drop("_n")
     seen = masked_by_tombstones(cells, policy, families, default) if tombstones else cells.filter(F.col("type") == PUT)
     seen = seen.filter(_in_range(F.col("ts"), policy))
+    expires = policy.now is not None and any(s.ttl is not None for s in [*families.values(), default])
+    if policy.max_versions == 1 and not expires and apply_filter is None and all(s.max_versions >= 1 for s in [*families.values(), default]):
+        # One version needs no order, only the greatest: partial sums go into the shuffle instead of all versions.
+        others = [c for c in seen.columns if c not in COORDINATES]
+        newest = F.max_by(F.struct(*others), F.struct("ts", "seq")).alias("_newest")
+        return seen.groupBy(*COORDINATES).agg(newest).select(*[F.col(f"_newest.{c}").alias(c) if c in others else F.col(c) for c in seen.columns])
     seen = last_written(seen) if ties else seen
     seen = apply_filter(seen) if apply_filter else seen
     most = _by_family(families, lambda s: s.max_versions, default)
@@ -118,7 +129,7 @@ def resolve(
         most = F.least(most, F.lit(policy.max_versions))
     order = Window.partitionBy("rowkey", "family", "qualifier").orderBy(F.desc("ts"), F.desc("seq"))
     counted = seen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
-    if policy.now is not None and any(s.ttl is not None for s in [*families.values(), default]):
+    if expires:
         ttl = _by_family(families, lambda s: s.ttl, default)
         least = _by_family(families, lambda s: s.min_versions, default)
         alive = ttl.isNull() | (F.col("ts") >= F.lit(policy.now) - ttl)

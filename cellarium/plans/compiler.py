@@ -52,8 +52,8 @@ def key_predicate(f: Any, key: Column) -> Column | None:
             return fuzzy_match(key, pairs)
         case A.RandomRowFilter(chance, seed):
             # A hash of the key, so that all cells of a row share one draw and reruns agree.
-            draw = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") / float(1 << 53)
-            return draw < chance
+            digits = F.substring(F.md5(F.concat(key, F.lit(f"/{seed}")).cast("binary")), 1, 13)
+            return F.conv(digits, 16, 10).cast("double") / float(1 << 52) < chance
     return None
 
 
