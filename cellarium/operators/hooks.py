@@ -54,24 +54,37 @@ class ObservedTable:
 
     table: Table
     observers: dict[str, list[Callable[[DataFrame], DataFrame]]] = field(default_factory=dict)
+    with_attributes: dict[str, list[Callable[[DataFrame, dict[str, Any]], DataFrame]]] = field(default_factory=dict)
 
     def on(self, hook: str, observer: Callable[[DataFrame], DataFrame]) -> None:
         if hook not in HOOKS:
             raise ValueError(f"no hook {hook}")
         self.observers.setdefault(hook, []).append(observer)
 
-    def _run(self, hook: str, df: DataFrame) -> DataFrame:
+    def on_attributes(self, hook: str, observer: Callable[[DataFrame, dict[str, Any]], DataFrame]) -> None:
+        """An observer of scans that also gets the scan's attributes."""
+        if hook not in ("pre_scan", "post_scan"):
+            raise ValueError(f"no attributes at {hook}")
+        self.with_attributes.setdefault(hook, []).append(observer)
+
+    def _run(self, hook: str, df: DataFrame, attributes: dict[str, Any] | None = None) -> DataFrame:
         for observer in self.observers.get(hook, ()):
             df = observer(df)
+        for observer in self.with_attributes.get(hook, ()):
+            df = observer(df, attributes or {})
         return df
 
     def scan(self, **options: Any) -> DataFrame:
-        seen = replace(self.table, cells=self._run("pre_scan", self.table.cells))
-        return self._run("post_scan", seen.scan(**options))
+        given = options.get("attributes")
+        table = self.table
+        if any(hooks.get("pre_scan") for hooks in (self.observers, self.with_attributes)):
+            # What observers see first is all cells, not those of some files.
+            table = replace(table, cells=self._run("pre_scan", table.cells, given), files=None)
+        return self._run("post_scan", table.scan(**options), given)
 
     def mutate(self, edits: DataFrame, kind: str = "put") -> None:
         edits = self._run(f"pre_{kind}", edits)
-        self.table = replace(self.table, cells=self._run(f"post_{kind}", apply(self.table.cells, edits)))
+        self.table = replace(self.table, files=None, cells=self._run(f"post_{kind}", apply(self.table.cells, edits)))
 
 
 def endpoint(cells: DataFrame, partial: Callable[..., Any], schema: str, final: Callable[[DataFrame], DataFrame], start: str = "", stop: str = "") -> DataFrame:

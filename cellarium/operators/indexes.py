@@ -15,9 +15,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cellarium.operators.ranges import NEVER, Dnf, Range, predicate
-from cellarium.sources.store import KeyedFiles, stored
+from cellarium.sources.store import KeyedFiles, stored, written
 
 
 @dataclass(frozen=True)
@@ -285,6 +286,32 @@ def stored_index(spark: SparkSession, source: str, spec: IndexSpec, key: str) ->
     return stored(spark, "-".join(["index", name, spec.column, spec.kind, *spec.include]), source, made, spec.column, [key])
 
 
+def in_order(rows: DataFrame, spec: IndexSpec, key: str) -> DataFrame:
+    """``rows`` with ``place``: their number from 1 in the order of the indexed value, then of the key.
+
+    Ranges of values are numbered each for itself and moved on by the sizes of those before.
+    """
+    parts = written(rows.repartitionByRange(spec.column, key).withColumn("_part", F.spark_partition_id()), "index-order")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(spec.column, key))
+    return parts.withColumn("_n", number).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_n")).drop("_part", "_n", "_before").orderBy("place")
+
+
+def byte_share(low: bytes, value: bytes, high: bytes, width: int = 3) -> float:
+    """Where ``value`` lies between two keys, from 0 to 1: by ``width`` bytes from the first in which the two differ.
+
+    An estimate without statistics; beyond the keys it is 0 or 1, between equal ones 0.
+    """
+    if value <= low or high <= low:
+        return 0.0
+    if value >= high:
+        return 1.0
+    same = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+    a, v, b = (int.from_bytes(k[same : same + width].ljust(width, b"\0"), "big") for k in (low, value, high))
+    return (v - a) / (b - a) if b > a else 0.0
+
+
 def of_conjunct(index: KeyedFiles, conjunct: Sequence[Range]) -> DataFrame:
     """The rows of the files of a stored index that can hold what its column's ranges ask for."""
     low = [v for r in conjunct if r.column == index.key for op, v in r.tests if op in (">", ">=", "=")]

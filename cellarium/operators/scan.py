@@ -37,8 +37,15 @@ class ScanSpec:
     now: int | None = None
     batch: int | None = None
     limit: int | None = None
+    #: Only cells of this time; sets the range.
+    timestamp: int | None = None
+    #: What a caller hands to observers and user filters; scans don't look at it.
+    attributes: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        if self.timestamp is not None:
+            object.__setattr__(self, "time_min", self.timestamp)
+            object.__setattr__(self, "time_max", self.timestamp + 1)
         if self.raw and self.columns:
             raise ValueError("a raw scan takes no columns")
         if self.batch is not None and _decides_rows(self.filter):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cellarium import catalogue
+from cellarium import catalogue, catalogue_tools  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -12,28 +12,27 @@ from cellarium.sources.resource_path import parse_path
 @pytest.mark.parametrize(
     ("text", "tree"),
     [
-        ("KeyOnlyFilter()", A.KeyOnlyFilter()),
-        ("PrefixFilter('row')", A.PrefixFilter("row")),
-        ("InclusiveStopFilter ('row 3')", A.InclusiveStopFilter("row 3")),
-        ("InclusiveStopFilter ('row''3')", A.InclusiveStopFilter("row'3")),
-        ("InclusiveStopFilter ('row''3''')", A.InclusiveStopFilter("row'3'")),
-        ("TimestampsFilter(9223372036854775806, 6)", A.TimestampsFilter((9223372036854775806, 6))),
-        ("ColumnPaginationFilter(4, 6)", A.ColumnPaginationFilter(4, 6)),
-        ("RowFilter ( =,   'binary:regionse')", A.RowFilter(Op.EQUAL, Binary("regionse"))),
-        ("FamilyFilter(>=, 'binaryprefix:pre')", A.FamilyFilter(Op.GREATER_OR_EQUAL, BinaryPrefix("pre"))),
-        ("QualifierFilter(=, 'regexstring:pre*')", A.QualifierFilter(Op.EQUAL, Regex("pre*"))),
-        ("ValueFilter(!=, 'substring:pre')", A.ValueFilter(Op.NOT_EQUAL, Substring("pre"))),
-        ("ColumnRangeFilter('abc', true, 'xyz', FALSE)", A.ColumnRangeFilter("abc", True, "xyz", False)),
-        ("DependentColumnFilter('family', 'qualifier', true, =, 'binary:abc')", A.DependentColumnFilter("family", "qualifier", True, Op.EQUAL, Binary("abc"))),
-        ("SingleColumnValueFilter ('f', 'q', >, 'binaryprefix:a')", A.SingleColumnValueFilter("f", "q", Op.GREATER, BinaryPrefix("a"))),
-        ("SKIP ValueFilter( =,  'binary:0')", A.SkipFilter(A.ValueFilter(Op.EQUAL, Binary("0")))),
+        ("FirstKeyOnlyFilter( )", A.FirstKeyOnlyFilter()),
+        ("PrefixFilter('wood/')", A.PrefixFilter("wood/")),
+        ("InclusiveStopFilter('oak, 7')", A.InclusiveStopFilter("oak, 7")),
+        ("InclusiveStopFilter  ('it''s')", A.InclusiveStopFilter("it's")),
+        ("TimestampsFilter( 0,9223372036854775807 , 12 )", A.TimestampsFilter((0, 9223372036854775807, 12))),
+        ("ColumnPaginationFilter(25,0)", A.ColumnPaginationFilter(25, 0)),
+        ("RowFilter(<=,'binary:tree:9')", A.RowFilter(Op.LESS_OR_EQUAL, Binary("tree:9"))),
+        ("FamilyFilter( != , 'binaryprefix:lo' )", A.FamilyFilter(Op.NOT_EQUAL, BinaryPrefix("lo"))),
+        ("QualifierFilter(!=, 'regexstring:^fr[a-z]+\\d$')", A.QualifierFilter(Op.NOT_EQUAL, Regex("^fr[a-z]+\\d$"))),
+        ("ValueFilter(=, 'substring:Grün')", A.ValueFilter(Op.EQUAL, Substring("Grün"))),
+        ("ColumnRangeFilter('bark', FALSE, '', true)", A.ColumnRangeFilter("bark", False, "", True)),
+        ("DependentColumnFilter('size', 'm', false, >, 'binary:20')", A.DependentColumnFilter("size", "m", False, Op.GREATER, Binary("20"))),
+        ("SingleColumnValueFilter('size','m',<,'binary:9',true,false)", A.SingleColumnValueFilter("size", "m", Op.LESS, Binary("9"), True, False)),
+        ("WHILE RowFilter(>, 'binary:b')", A.WhileMatchFilter(A.RowFilter(Op.GREATER, Binary("b")))),
         (
-            " (PrefixFilter ('realtime')AND  FirstKeyOnlyFilter() OR KeyOnlyFilter())",
-            A.FilterList((A.FilterList((A.PrefixFilter("realtime"), A.FirstKeyOnlyFilter())), A.KeyOnlyFilter()), False),
+            "PageFilter(3)OR(KeyOnlyFilter()  AND ColumnPrefixFilter('fr'))",
+            A.FilterList((A.PageFilter(3), A.FilterList((A.KeyOnlyFilter(), A.ColumnPrefixFilter("fr")))), False),
         ),
         (
-            " PrefixFilter ('realtime')AND  SKIP FirstKeyOnlyFilter()OR KeyOnlyFilter()",
-            A.FilterList((A.FilterList((A.PrefixFilter("realtime"), A.SkipFilter(A.FirstKeyOnlyFilter()))), A.KeyOnlyFilter()), False),
+            "PageFilter(3) OR KeyOnlyFilter() AND SKIP ColumnPrefixFilter('fr')",
+            A.FilterList((A.PageFilter(3), A.FilterList((A.KeyOnlyFilter(), A.SkipFilter(A.ColumnPrefixFilter("fr"))))), False),
         ),
     ],
 )
@@ -45,9 +44,9 @@ def test_parse(text, tree):
 @pytest.mark.parametrize(
     "text",
     [
-        "", "NoSuchFilter()", "ValueFilter(>>, 'binary:x')", "ValueFilter(=, 'binaryoperator:x')", "ValueFilter(>=, 'regexstring:x')", "ValueFilter(<, 'substring:x')",
-        "ColumnCountGetFilter(2147483648)", "TimestampsFilter(-1)", "InclusiveStopFilter('row''3)", "PrefixFilter()", "PrefixFilter('a', 'b')", "PageFilter('a')",
-        "KeyOnlyFilter() AND", "(KeyOnlyFilter()", "KeyOnlyFilter() KeyOnlyFilter()", "SKIP", "ColumnRangeFilter('a', maybe, 'b', true)",
+        "", "  ", "TreeFilter()", "RowFilter(=>, 'binary:oak')", "RowFilter(=, 'oak')", "RowFilter(=, 'prefix:oak')", "QualifierFilter(<=, 'regexstring:o.k')", "FamilyFilter(>, 'substring:oak')",
+        "ColumnPaginationFilter(3000000000, 1)", "TimestampsFilter(7, -7)", "PrefixFilter('oak)", "PrefixFilter('o''ak)", "InclusiveStopFilter()", "PageFilter(1, 2)", "PageFilter('many')",
+        "OR PageFilter(1)", "PageFilter(1) OR", "(PageFilter(1)", "PageFilter(1))", "PageFilter(1) PageFilter(2)", "WHILE", "ColumnRangeFilter('a', yes, 'b', true)",
     ],
 )
 def test_errors(text):
