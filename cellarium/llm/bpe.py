@@ -17,8 +17,8 @@ Two automata are compiled from the merges.
    Time is the rank of the merge.  A table of 50,000 states with up to 50,000 arcs each has no room in a worker:
    the gadgets themselves are the table, and an arc is read off them.
 2. Over bytes.  Since BPE makes one sequence of every prefix of a word, a prefix has one last token.  A state is the
-   node that the prefix has in the Aho-Corasick automaton of the tokens' bytes, together with the last tokens of
-   the prefixes that end within that node's depth.  The next byte gives the next node; of the tokens that end
+   node that the prefix has in the Aho-Corasick automaton of the tokens' bytes, together with the last tokens before the
+   places where, by that node, a token may have begun that goes on.  The next byte gives the next node; of the tokens that end
    there exactly one has an arc from the last token of what stands before it, and that is the last
    token of the longer prefix.  The transition is deterministic and goes into a table, where all words that come by find it.
 
@@ -48,9 +48,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cellarium.llm.common import bounded_batches, documents, worker_cache
 
 #: Words whose tokens a worker keeps; arcs over tokens, and states over bytes: full tables are begun anew.
-KEPT_WORDS = 250_000
-KEPT_ARCS = 500_000
-KEPT_STATES = 250_000
+KEPT_WORDS = 300_000
+KEPT_ARCS = 100_000
+KEPT_STATES = 150_000
 #: Longer words are not kept.
 KEPT_LENGTH = 64
 
@@ -99,7 +99,6 @@ class Automaton:
         self.token = {label: i for label, i in self.token.items() if self._sound(i)}
         self._compile_bytes()
         self._begin_states()
-        self.kept: dict[str, str] = {}
         self.first: dict[str, str] = {}
         self.after_space: dict[str, str] = {}
 
@@ -160,38 +159,48 @@ class Automaton:
                 queue.append(below)
             shorter[node] = fail[node] if own[fail[node]] >= 0 else shorter[fail[node]]
         self.child, self.fail, self.depth, self.own, self.shorter = child, fail, depth, own, shorter
+        self.begun: list[tuple[int, ...] | None] = [None] * len(child)
         self.size = {u: len(label) for u, label in self.label.items()}
 
     def _begin_states(self) -> None:
-        """State 0 is the empty prefix.  ``lasts[s]``: the last tokens of the prefixes within the depth, the longest prefix last; -1 is the empty one's."""
+        """State 0 is the empty prefix.  ``lasts[s]`` has the last token before each place where a longer token may have begun, -1 before the first byte."""
         self.steps: dict[int, int] = {}
-        self.states: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
+        self.states: dict[tuple[int, ...], int] = {(0, -1, -1): 0}
         self.node: list[int] = [0]
         self.lasts: list[tuple[int, ...]] = [(-1,)]
         self.last: list[int] = [-1]
 
+    def _begun(self, node: int) -> tuple[int, ...]:
+        """How many bytes back a token that goes on may have begun, if the prefix has this node: the depths of the failures that have children."""
+        found = self.begun[node]
+        if found is None:
+            own = (self.depth[node],) if self.child[node] or not node else ()
+            found = self.begun[node] = own + (self._begun(self.fail[node]) if node else ())
+        return found
+
     def _step(self, state: int, byte: int) -> int:
         """The transition that the table lacks."""
         node, child, fail = self.node[state], self.child, self.fail
+        before = dict(zip(self._begun(node), self.lasts[state], strict=True))
         while node and byte not in child[node]:
             node = fail[node]
         node = child[node].get(byte, 0)
-        lasts, has_arc = self.lasts[state], self.has_arc
+        has_arc, depth = self.has_arc, self.depth
         at, last = (node if self.own[node] >= 0 else self.shorter[node]), -2
         while at:
             # The prefix before the token is as many steps back as the token has bytes.
-            u, before = self.own[at], lasts[-self.depth[at]]
-            if before == -1 or (before >= 0 and has_arc(before, u)):
+            u, t = self.own[at], before[depth[at] - 1]
+            if t == -1 or (t >= 0 and has_arc(t, u)):
                 last = u
                 break
             at = self.shorter[at]
-        reach = self.depth[node]
-        key = (node, (*lasts[len(lasts) - reach :], last) if reach else (last,))
+        lasts = tuple([before[d - 1] if d else last for d in self._begun(node)])
+        key = (node, last, *lasts)
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = len(self.node)
             self.node.append(node)
-            self.lasts.append(key[1])
+            self.lasts.append(lasts)
             self.last.append(last)
         self.steps[state << 8 | byte] = found
         return found
@@ -273,13 +282,15 @@ class Automaton:
         return [self._kept_word(w) for w in self.words.findall(text)]
 
     def _kept_word(self, word: str) -> str:
-        ids = self.kept.get(word)
+        """A word with a space before it is kept with the pieces that follow a space, any other with those that don't: a piece of one word is that word."""
+        kept, key = (self.after_space, word[1:]) if word[0] == " " else (self.first, word)
+        ids = kept.get(key)
         if ids is None:
             ids = ",".join(map(str, self.encode_word(word.encode())))
-            if len(word) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[word] = ids
+            if len(key) <= KEPT_LENGTH:
+                if len(kept) >= KEPT_WORDS:
+                    kept.clear()
+                kept[key] = ids
         return ids
 
     def decode(self, ids: list[int]) -> str:

@@ -2,7 +2,8 @@
 
 For every language of the labelled rows a raw-content dictionary is filled from a
 bounded sample: ``SAMPLE_DOCS`` documents (those of the smallest hash draws), of each
-at most ``SAMPLE_CHARS`` characters, up to ``DICTIONARY_BYTES`` bytes.  A text is lower-cased,
+at most ``SAMPLE_CHARS`` characters; of what they have together the last ``DICTIONARY_BYTES`` bytes are used.  Of more than
+``MOST_LANGUAGES`` languages those with the most rows are learned.  A text is lower-cased,
 ASCII other than letters becomes a space, and what is left is compressed whole, in pieces of
 ``PIECE`` bytes, once with each dictionary; a piece starts from the dictionary alone, so that
 long texts don't outgrow it.  The smallest sum of sizes wins, and the margin to the second,
@@ -31,6 +32,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 from cellarium.llm.common import bounded_batches, documents, held_out, unit, worker_cache
 
 SAMPLE_DOCS = 200
+#: Languages that are learned: those with the most rows, then the first by name.
+MOST_LANGUAGES = 256
 SAMPLE_CHARS = 2000
 DICTIONARY_BYTES = 32 << 10
 PIECE = 2 << 10
@@ -57,7 +60,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """The content of each language's dictionary, the language with most rows first.  What reaches the driver is bounded for each language."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     if not counts:
         return {}
     draw = unit(F.col("doc_id"), F.lit("language"))

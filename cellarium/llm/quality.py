@@ -6,7 +6,7 @@
 3. Lasso logistic regression over the rules drops most of them and weighs the rest.
 4. What is left is compiled into one Spark column expression.
 
-The learner sees at most about ``SAMPLE_ROWS`` labelled rows (those of the smallest hash
+The learner sees at most ``SAMPLE_ROWS`` labelled rows (those of the smallest hash
 draws), never held-out ones.  Only statistics of the text enter a score.
 
 Cases: null and empty texts have statistics 0 and get a score like any other; rows
@@ -29,7 +29,7 @@ from cellarium.llm.common import bounded_batches, documents, held_out, unit, wri
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, CUTS, LEAST_LEAF = 30, 3, 24, 10
-LASSO, STEPS = 0.001, 400
+LASSO, STEPS = 0.001, 1000
 THRESHOLD = 0.3
 
 STATISTICS = [
@@ -191,13 +191,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 
 def learn(statistics: DataFrame, labels: DataFrame, label: str = "quality") -> Ensemble:
-    """Fit on the labelled rows that are not held out; at most about SAMPLE_ROWS of them reach the driver."""
+    """Fit on the labelled rows that are not held out; at most SAMPLE_ROWS of them reach the driver."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y IN (0, 1)")
     rows = statistics.filter(~F.col("held_out")).join(marked, F.col("doc_id") == F.col("_id"))
     total = marked.count()
-    if total > SAMPLE_ROWS:
-        rows = rows.filter(unit(F.col("doc_id"), F.lit("quality")) < SAMPLE_ROWS / total)
-    table = rows.select("_y", "doc_id", *STATISTICS).toPandas().sort_values("doc_id", kind="stable")
+    draw = unit(F.col("doc_id"), F.lit("quality"))
+    if total > 2 * SAMPLE_ROWS:
+        rows = rows.filter(draw < 2 * SAMPLE_ROWS / total)
+    # However often a doc_id is repeated, no more rows than these arrive.
+    rows = rows.select("_y", "doc_id", *STATISTICS, draw.alias("_draw")).orderBy("_draw", "doc_id", "_y", *STATISTICS).limit(SAMPLE_ROWS)
+    table = rows.drop("_draw").toPandas().sort_values("doc_id", kind="stable")
     if table.empty:
         return Ensemble(0.0, (), ())
     return fit(table[STATISTICS].to_numpy(dtype=float), table["_y"].to_numpy(dtype=float))

@@ -117,7 +117,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), rule, strict=True)]) for rule in rules]
+    return spark.range(1).select(F.explode(F.array(*entries)).alias("r")).select("r.*")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

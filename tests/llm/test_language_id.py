@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+import zstandard
 
 from cellarium.llm import language_id as L
 
@@ -83,3 +84,31 @@ def test_narrow_margins_are_rejected_and_clean_texts_stay(spark, dictionaries):
     assert {d for d, s in stay if s != "noise"} == {d for d, _, _, s, _ in rows if s != "noise"}
     # Some 1 in 100 noise texts passes by chance.
     assert sum(s == "noise" for _, s in stay) <= 2
+
+
+def test_predictions_like_brute_force(spark, docs, dictionaries):
+    """Every text compressed whole, piece by piece, with each dictionary by the library's plain calls."""
+    p = zstandard.ZstdCompressionParameters(**L.PARAMETERS, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def size(data, content):
+        given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return sum(len(zstandard.ZstdCompressor(dict_data=given, compression_params=p).compress(data[i : i + L.PIECE])) for i in range(0, len(data), L.PIECE))
+
+    text = {i: t for i, t, *_ in rows()}
+    for r in L.predict(docs, dictionaries).collect():
+        words = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text[r.doc_id].lower()).split()
+        sizes = sorted((size(" ".join(words).encode(), content), place, name) for place, (name, content) in enumerate(dictionaries.items()))
+        assert r.lang_pred == sizes[0][2]
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert abs(r.margin - margin) < 1e-12 and abs(r.score - margin / (margin + L.HALF_MARGIN)) < 1e-12
+
+
+def test_no_more_languages_than_the_bound(spark, docs, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
+    junk = spark.createDataFrame([(1000 + i, "x y z", f"junk{i}", "s", "c") for i in range(30)], SCHEMA)
+    learned = L.learn(docs.unionByName(junk))
+    assert len(learned) == 2 and "en" in learned
+
+
+def test_rejection_of_an_empty_table(docs, dictionaries):
+    assert L.reject(docs.limit(0), dictionaries).count() == 0 and L.reject(docs, {}).count() == 0

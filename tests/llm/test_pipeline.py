@@ -55,3 +55,41 @@ def test_stages(spark, tmp_path):
     for r in last:
         assert machine.decode(r.ids) == text[r.doc_id] and r.n_tokens == len(r.ids)
     assert P.run(spark, str(tmp_path)).count() == len(last)
+
+
+def run_stages(spark, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    frames = [spark.read.parquet(f"{folder}/documents.parquet")]
+    for i, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, frames[-1], str(folder))
+        out.write.parquet(f"{folder}/{i}")
+        frames.append(spark.read.parquet(f"{folder}/{i}"))
+    return frames
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    frames = run_stages(spark, spark.createDataFrame([], SCHEMA), tmp_path)
+    assert [f.count() for f in frames] == [0] * 6
+
+
+def test_nulls_long_texts_repeated_rows_and_clashing_names(spark, tmp_path):
+    """Columns that are named as the stages name their own are kept as they came."""
+    long = " ".join(f"the water of {i % 977} people would" for i in range(60_000))
+    rows = [(1, long, "en", "a", 1), (2, long + " end", "en", "a", 1), (3, "", "en", "a", 1), (4, None, None, None, None), (None, "the people of the water", None, None, 2)]
+    rows += [(5, "the same people would water the same", "en", "b", 3)] * 3 + [(6 + i, f"which people about that water number {i} " * 4, "en", "b", 1) for i in range(30)]
+    extra = {"row": "r", "key": "k", "d": "d", "_d": "_d", "size": "s", "_s": "_s", "_c": "_c", "u": "u", "node": "n", "digest": "x", "told": "t", "copies": "c", "_copies": "cc"}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, value in extra.items():
+        docs = docs.withColumn(name, P.written.__globals__["F"].lit(value))
+    frames = run_stages(spark, docs, tmp_path)
+    assert all(f.columns == docs.columns for f in frames[:-1])
+    for f in frames[1:-1]:
+        assert all(r[name] == value for r in f.collect() for name, value in extra.items())
+    assert {r.doc_id for r in frames[1].collect()} >= {1, 2, 5, None} and 4 not in {r.doc_id for r in frames[1].collect()}
+    # Copies of a row are one row; the longer of two near copies goes, for its doc_id is greater.
+    near = [r.doc_id for r in frames[3].collect()]
+    assert near.count(5) == 1 and 1 in near and 2 not in near
+    assert all(r.n_tokens > 0 for r in frames[-1].collect())
