@@ -6,8 +6,8 @@ Every byte that a string of LENGTH bytes covers which also starts elsewhere goes
    the one whose hash is smallest, the leftmost of equals.  Equal windows have equal anchors at
    equal places, so they meet in the group of that anchor's hash, and each window is
    looked at in one group only.  The windows of one anchor overlap; the bytes they span are the
-   anchor's context.  Groups with one occurrence repeat nothing.  Contexts that occur
-   twice or more, byte by byte, repeat in all their windows; counting tells that.
+   anchor's context.  Groups with one occurrence repeat nothing.  Copies of a context (the same
+   128 bits of two independent hashes, of its anchor and of its bytes) repeat in all their windows, and one of them stands for all.
 2. Transforms.  What differs within a group (where repeats begin, end or are edited) is left.
    Contexts of a group are dealt to shards.  Symbols are strings of SYMBOL bytes, named within
    a task and compared byte by byte; a context is a set of strings of symbols, one for every
@@ -17,8 +17,11 @@ Every byte that a string of LENGTH bytes covers which also starts elsewhere goes
    elements are dealt by the symbol before them, in the order of the round before).  The
    blocks that a round can't tell apart have that many symbols in common: after
    DEPTH rounds they are the repeated intervals, and no suffix has been sorted again.
-3. Groups of more than GROUP_LIMIT contexts are not gathered in a task: their windows are counted
-   by two 64-bit hashes instead, as many rows as there are windows.
+3. Groups of more than GROUP_LIMIT contexts are dealt on to several tasks, by the bytes around the anchor: a window has
+   at least half of its further bytes before what it is known to share, or else more than half behind it; that half is
+   shared by the windows that meet next.  So each window goes to one part of one of two groups, equal windows to the same, and
+   equal pieces become one.  Rounds go on until no group is crowded (in the eighth all LENGTH bytes are shared), and every
+   part goes through the transforms like any other group.
 
 Cases: null and empty texts have 0 bytes and the hash of nothing; texts shorter than LENGTH
 keep all; matches never cross documents; rows repeated in full are occurrences of their
@@ -31,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import bounded_batches, documents, join_by_key, written
+from cellarium.llm.common import bounded_batches, discard, documents, join_by_key, written
 
 LENGTH = 200
 GRAM = 64
@@ -171,9 +175,10 @@ class Symbols:
             eight |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
         bearer = np.empty(name.max() + 1, dtype=np.int64)
         bearer[name] = at
-        for k in [*range(0, SYMBOL - 7, 8), SYMBOL - 8]:
-            if not (eight[at + k] == eight[bearer[name] + k]).all():
-                raise ValueError("two symbols share a hash")
+        if not all((eight[at + k] == eight[bearer[name] + k]).all() for k in [*range(0, SYMBOL - 7, 8), SYMBOL - 8]):
+            # Two symbols share a hash: these are named by their bytes.
+            strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SYMBOL)[at]).view(f"V{SYMBOL}").ravel()
+            name = np.unique(strings, return_inverse=True)[1].astype(np.int64)
         self.symbol = np.zeros(len(self.owner), dtype=np.int64)
         self.symbol[real] = name + 1
         back = self.place >= SYMBOL
@@ -275,18 +280,78 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield done(held)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(grp, ctx, place, one, two) for every window of every context."""
-    rolling = Rolling(BLOCK + LENGTH)
+def _anchor_place(part: np.ndarray, rolling: Rolling) -> int:
+    """Where the anchor of a context's windows begins: the smallest hash of the first window's strings, the leftmost of equals."""
+    n = WINDOW
+    sums = rolling.sums(part[: n + GRAM - 1], 0)
+    gram = _mixed((sums[GRAM:] - sums[:-GRAM]) * rolling.inverse[0][:n])
+    place = np.uint64((1 << 17) - 1)
+    return int(((gram & ~place) | np.arange(n, dtype=np.uint64)).min() & place)
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, ctx, core, shared, bytes), ``shared`` bytes from ``core`` on being in all windows of the group; -1: the anchor's.
+
+    Gives (of_grp, of_ctx, shift, grp, ctx, core, shared, bytes): the windows with half of their other bytes before those, and the rest.
+    """
+    names = ["of_grp", "of_ctx", "shift", "grp", "ctx", "core", "shared", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    rolling = Rolling(2 * LENGTH)
     for batch in batches:
-        for grp, ctx, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            part = np.frombuffer(data, dtype=np.uint8)
-            place = np.arange(len(part) - LENGTH + 1)
-            hashes = [rolling.hashes(rolling.sums(part, k), place, place + LENGTH, k).view(np.int64) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(place), grp)), pa.array(np.full(len(place), ctx)), pa.array(place.astype(np.int32)), *map(pa.array, hashes)],
-                ["grp", "ctx", "place", "one", "two"],
-            )
+        out: list[tuple] = []
+        for grp, ctx, core, shared, data in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            if core < 0:
+                core, shared = _anchor_place(np.frombuffer(data, dtype=np.uint8), rolling), GRAM
+            half = -(-(LENGTH - shared) // 2)
+            rest = LENGTH - shared - half + 1
+            last = len(data) - LENGTH
+            for side, low, high, begin, size in ((0, 0, min(last, core - half), core - half, shared + half), (1, max(0, core - half + 1), last, core, shared + rest)):
+                if low <= high:
+                    piece = data[low : high + LENGTH]
+                    key = xxhash.xxh64_intdigest(data[begin : begin + size], (grp * 2 + side) & (1 << 64) - 1)
+                    name = xxhash.xxh64_intdigest(piece, begin - low)
+                    out.append((grp, ctx, low, _signed(key), _signed(name), begin - low, size, piece))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _leaf_runs(leaves: DataFrame) -> DataFrame:
+    """grp, ctx, first, last: the windows that repeat within their group."""
+    dealt = leaves.select("grp", "ctx", "bytes").repartition("grp").sortWithinPartitions("grp", "ctx")
+    return dealt.mapInArrow(_leaves, "grp bigint, ctx bigint, first int, last int")
+
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
+    """grp, ctx, first, last of the contexts ``texts`` (grp, ctx, size, bytes); ``size``: contexts of the group."""
+    runs = written(_leaf_runs(texts.filter(F.col("size") <= GROUP_LIMIT)), "repeated-windows")
+    crowded = texts.filter(F.col("size") > GROUP_LIMIT).dropDuplicates(["grp", "ctx"]).select("grp", "ctx", F.lit(-1).alias("core"), F.lit(-1).alias("shared"), "bytes")
+    # Which piece of which context a part is.
+    origin = None
+    while not crowded.isEmpty():
+        parts = written(crowded.mapInArrow(_halves, "of_grp bigint, of_ctx bigint, shift int, grp bigint, ctx bigint, core int, shared int, bytes binary"), "halves")
+        part = parts.select("of_grp", "of_ctx", "shift", "grp", "ctx")
+        if origin is not None:
+            up = origin.select(F.col("grp").alias("of_grp"), F.col("ctx").alias("of_ctx"), F.col("of_grp").alias("_g"), F.col("of_ctx").alias("_c"), F.col("shift").alias("_s"))
+            part = part.join(up, ["of_grp", "of_ctx"]).select(F.col("_g").alias("of_grp"), F.col("_c").alias("of_ctx"), (F.col("shift") + F.col("_s")).alias("shift"), "grp", "ctx")
+        origin = written(part, "origins")
+        pieces = origin.groupBy("grp", "ctx").agg(F.count(F.lit(1)).alias("n"))
+        bodies = parts.groupBy("grp", "ctx").agg(F.min(F.struct("core", "shared", "bytes")).alias("b"))
+        one = written(bodies.join(pieces, ["grp", "ctx"]).select("grp", "ctx", "n", "b.core", "b.shared", "b.bytes"), "pieces")
+        sizes = one.groupBy("grp").agg(F.count(F.lit(1)).alias("count")).withColumn("size", F.col("count"))
+        one = written(join_by_key(one, sizes.drop("count"), "grp", one.count(), sizes), "sized-pieces")
+        # A piece of several contexts repeats whole; what meets no other piece is done.
+        whole = one.filter("n > 1").select("grp", "ctx", F.lit(0).alias("first"), (F.octet_length("bytes") - LENGTH).alias("last"))
+        found = written(_leaf_runs(one.filter((F.col("size") > 1) & (F.col("size") <= GROUP_LIMIT))).unionByName(whole), "part-windows")
+        total = origin.count()
+        met = join_by_key(origin, found, ["grp", "ctx"], total, pieces.withColumnRenamed("n", "count"))
+        up = met.select(F.col("of_grp").alias("grp"), F.col("of_ctx").alias("ctx"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+        runs = runs.unionByName(written(up, "repeated-windows"))
+        discard(parts, found)
+        crowded = one.filter(F.col("size") > GROUP_LIMIT).select("grp", "ctx", "core", "shared", "bytes")
+    return runs
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -303,13 +368,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"), F.struct("grp", "ctx", F.col("at.low").alias("low"), F.col("at.high").alias("high"), "size").alias("piece")
     )
     texts = written(_pieces(docs, wanted), "context-texts")
-    leaves = texts.filter(F.col("size") <= GROUP_LIMIT).repartition("grp").sortWithinPartitions("grp", "ctx").select("grp", "ctx", "bytes")
-    runs = leaves.mapInArrow(_leaves, "grp bigint, ctx bigint, first int, last int")
-    crowded = texts.filter(F.col("size") > GROUP_LIMIT).select("grp", "ctx", "bytes").dropDuplicates(["grp", "ctx"])
-    windows = crowded.mapInArrow(_window_hashes, "grp bigint, ctx bigint, place int, one bigint, two bigint")
-    same = windows.groupBy("grp", "one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    more = windows.join(same.drop("n"), ["grp", "one", "two"]).select("grp", "ctx", F.col("place").alias("first"), F.col("place").alias("last"))
-    runs = written(runs.unionByName(more), "repeated-windows")
+    runs = repeated_runs(texts)
 
     # A context that occurs twice repeats whole; of the others the marked windows do.
     whole = contexts.filter("n > 1").select("grp", "ctx", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))

@@ -49,11 +49,34 @@ def test_like_brute_force(spark):
     check(spark, list(enumerate(texts())))
 
 
-def test_crowded_groups(spark, monkeypatch):
-    monkeypatch.setattr(D, "GROUP_LIMIT", 2)
+@pytest.mark.parametrize("limit", [1, 2, 4])
+def test_crowded_groups(spark, monkeypatch, limit):
+    """Groups that are dealt on give what the others give; at limit 1 all are, until their windows are told apart whole."""
+    monkeypatch.setattr(D, "GROUP_LIMIT", limit)
     check(spark, list(enumerate(texts())))
 
 
+def test_one_passage_in_many_surroundings(spark, monkeypatch):
+    """A hot group whose contexts all differ: the passage with other bytes before and behind it in each text."""
+    monkeypatch.setattr(D, "GROUP_LIMIT", 8)
+    r = random.Random(12)
+    fresh = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, short = fresh(240), fresh(150)
+    some = [fresh(r.randint(0, 90)) + passage + fresh(r.randint(0, 90)) for _ in range(40)] + [fresh(90) + short + fresh(90) for _ in range(40)]
+    check(spark, list(enumerate(some + [x + "tail" for x in some[:6]])))
+
+
+def test_symbols_that_share_a_hash(monkeypatch):
+    """All strings get one of a few hashes: they are named by their bytes."""
+    r = random.Random(7)
+    base = "".join(r.choice("abc") for _ in range(500)).encode()
+    contexts = [base[i : i + 260] for i in range(0, 200, 40)]
+    want = D.repeated_windows(contexts)[1].tolist()
+    plain = D.Rolling.hashes
+    monkeypatch.setattr(D.Rolling, "hashes", lambda self, *a: plain(self, *a) % D.np.uint64(5))
+    assert D.repeated_windows(contexts)[1].tolist() == want and any(want)
+
+
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 512)
     monkeypatch.setattr(D, "LEAF", 300)
