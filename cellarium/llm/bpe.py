@@ -48,9 +48,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cellarium.llm.common import bounded_batches, documents, worker_cache
 
 #: Words whose tokens a worker keeps; arcs over tokens, and states over bytes: full tables are begun anew.
-KEPT_WORDS = 300_000
-KEPT_ARCS = 100_000
-KEPT_STATES = 150_000
+KEPT_WORDS = 450_000
+KEPT_ARCS = 300_000
+KEPT_STATES = 300_000
 #: Longer words are not kept.
 KEPT_LENGTH = 64
 
@@ -161,6 +161,7 @@ class Automaton:
         self.child, self.fail, self.depth, self.own, self.shorter = child, fail, depth, own, shorter
         self.begun: list[tuple[int, ...] | None] = [None] * len(child)
         self.size = {u: len(label) for u, label in self.label.items()}
+        self.label_of_name = {str(u): label for u, label in self.label.items()}
 
     def _begin_states(self) -> None:
         """State 0 is the empty prefix.  ``lasts[s]`` has the last token before each place where a longer token may have begun, -1 before the first byte."""
@@ -211,15 +212,15 @@ class Automaton:
             return [whole]
         if len(self.node) >= KEPT_STATES:
             self._begin_states()
-        state, steps, last = 0, self.steps, self.last
-        lasts = []
+        state, found, path = 0, self.steps.get, []
+        add = path.append
         for byte in word:
-            below = steps.get(state << 8 | byte)
+            below = found(state << 8 | byte)
             state = self._step(state, byte) if below is None else below
-            lasts.append(last[state])
-        out, at, size = [], len(word), self.size
+            add(state)
+        out, at, size, last = [], len(word), self.size, self.last
         while at > 0:
-            u = lasts[at - 1]
+            u = last[path[at - 1]]
             if u < 0:
                 at -= 1
                 continue
@@ -296,6 +297,10 @@ class Automaton:
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
 
+    def decode_names(self, ids: list[str]) -> str:
+        """The text of decimal ids."""
+        return b"".join(map(self.label_of_name.__getitem__, ids)).decode("utf-8", "replace")
+
 
 def automaton(path: str, vocabulary: str) -> Automaton:
     """The automaton of the vocabulary, compiled once in a worker."""
@@ -329,14 +334,13 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, doc_id: str
         for batch in batches:
             counts, digests, decoded, all_ids = [], [], [], []
             for value in batch.column(1):
-                pieces = machine.encode(value.as_py() or "")
-                joined = ",".join(pieces)
-                ids = list(map(int, joined.split(","))) if joined else []
+                joined = ",".join(machine.encode(value.as_py() or ""))
+                ids = joined.split(",") if joined else []
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(machine.decode(ids).encode()).hexdigest())
+                decoded.append(hashlib.sha256(machine.decode_names(ids).encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(pa.array(ids, pa.int32()))
+                    all_ids.append(pa.array(list(map(int, ids)), pa.int32()))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
