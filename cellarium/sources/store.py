@@ -8,6 +8,7 @@ the names of the files that it opens.
 from __future__ import annotations
 
 import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -16,8 +17,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 ROW_GROUP = 16 << 20
+#: The layout of a folder: rows/, bounds/ and schema.json.  Folders of another layout are not looked at.
+LAYOUT = 2
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,7 +58,12 @@ def rename(spark: SparkSession, path: str, to: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()["value"]
+    files, hadoop = _files(spark, path)
+    stream = files.open(hadoop)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -91,11 +100,17 @@ class KeyedFiles:
     path: str
     key: str
 
+    def schema(self) -> StructType:
+        """As it was written: no file is opened for it."""
+        return StructType.fromJson(json.loads(read_text(self.spark, f"{self.path}/schema.json")))
+
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self.spark.read.schema(self.schema()).parquet(f"{self.path}/rows")
 
-    def bounds(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/bounds")
+    def bounds(self, kind: DataType | None = None) -> DataFrame:
+        kind = kind or self.schema()[self.key].dataType
+        schema = StructType([StructField("file", StringType()), StructField("low", kind), StructField("high", kind)])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/bounds")
 
     def between(self, start: Any = None, stop: Any = None) -> DataFrame:
         """All rows of the files that hold a key from ``start`` to ``stop``, both included; an empty bound is open.
@@ -107,10 +122,11 @@ class KeyedFiles:
             meet = meet & (F.col("high") >= F.lit(start))
         if stop not in ("", None):
             meet = meet & (F.col("low") <= F.lit(stop))
-        names = [r["file"] for r in self.bounds().filter(meet).select("file").collect()]
+        schema = self.schema()
+        names = [r["file"] for r in self.bounds(schema[self.key].dataType).filter(meet).select("file").collect()]
         if not names:
-            return self.rows().limit(0)
-        return self.spark.read.schema(self.rows().schema).parquet(*[f"{self.path}/rows/{n}" for n in names])
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/rows/{n}" for n in names])
 
 
 def write_keyed(df: DataFrame, path: str, key: str, order: Sequence[Any] = (), parts: int | None = None) -> KeyedFiles:
@@ -121,6 +137,7 @@ def write_keyed(df: DataFrame, path: str, key: str, order: Sequence[Any] = (), p
     dealt.sortWithinPartitions(key, *order).write.option("parquet.block.size", ROW_GROUP).parquet(f"{aside}/rows")
     made = spark.read.parquet(f"{aside}/rows").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col(key).alias("key"))
     made.groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high")).coalesce(1).write.parquet(f"{aside}/bounds")
+    write_text(spark, f"{aside}/schema.json", df.schema.json())
     if not rename(spark, aside, path):
         remove(spark, aside)
     return KeyedFiles(spark, path, key)
@@ -128,7 +145,7 @@ def write_keyed(df: DataFrame, path: str, key: str, order: Sequence[Any] = (), p
 
 def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], key: str, order: Sequence[Any] = ()) -> KeyedFiles:
     """The keyed files of ``name`` made from the table at ``source``: written when they are first asked for, or when the source has changed."""
-    mark = hashlib.sha256(f"{name}|{state_of(spark, source)}".encode()).hexdigest()[:20]
+    mark = hashlib.sha256(f"{LAYOUT}|{name}|{state_of(spark, source)}".encode()).hexdigest()[:20]
     path = f"{shared_folder(spark)}/cellarium-{name}-{mark}"
     return KeyedFiles(spark, path, key) if exists(spark, path) else write_keyed(build(), path, key, order)
 
