@@ -304,7 +304,7 @@ class Automaton:
 
 def automaton(path: str, vocabulary: str) -> Automaton:
     """The automaton of the vocabulary, compiled once in a worker."""
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     key = ("bpe", hashlib.sha256(vocabulary.encode()).digest())
     if key not in cache:
         cache[key] = Automaton(vocabulary)

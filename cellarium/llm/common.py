@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -140,9 +143,17 @@ def unit(*parts: Column) -> Column:
     return (bits + 0.5) / F.lit(float(1 << 53))
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker does, across tasks."""
-    cache = getattr(sys, "_cellarium_worker_cache", None)
-    if cache is None:
-        cache = sys._cellarium_worker_cache = {}
-    return cache
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker does, across tasks of one ``owner``.
+
+    A worker serves one stage after the other: tables of an owner before are given up, and their memory is given back.
+    """
+    held = getattr(sys, "_cellarium_worker_cache", None)
+    if held is None or held[0] != owner:
+        begun = held is not None
+        held = sys._cellarium_worker_cache = (owner, {})
+        if begun:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return held[1]

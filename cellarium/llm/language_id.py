@@ -123,7 +123,7 @@ def _judged(docs: DataFrame, dictionaries: dict[str, bytes], judge: Callable[[Cl
     content = spark.sparkContext.broadcast(dictionaries)  # DICTIONARY_BYTES for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("language")
         key = ("language", tuple(content.value.items()))
         if key not in cache:
             cache[key] = Classifier(content.value)
