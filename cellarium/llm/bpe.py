@@ -71,8 +71,9 @@ def byte_alphabet() -> dict[str, int]:
 class Automaton:
     """The compiled gadgets, and the transition table over bytes."""
 
-    def __init__(self, vocabulary: str):
-        """``vocabulary``: the JSON of a byte-level BPE tokenizer."""
+    def __init__(self, vocabulary: str, tables: float = 1.0):
+        """``vocabulary``: the JSON of a byte-level BPE tokenizer; ``tables``: the share of the tables' full sizes that a worker has room for."""
+        self.kept_words, self.kept_arcs, self.kept_states = (max(1, int(n * tables)) for n in (KEPT_WORDS, KEPT_ARCS, KEPT_STATES))
         spec = json.loads(vocabulary)
         model, letters = spec["model"], byte_alphabet()
         pre = spec.get("pre_tokenizer") or {}
@@ -107,7 +108,7 @@ class Automaton:
         key = t << 20 | u
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) >= KEPT_ARCS:
+            if len(self.arcs) >= self.kept_arcs:
                 self.arcs.clear()
             found = self.arcs[key] = self._arc_before(t, u, len(self.gadget) + 1)
         return found
@@ -210,7 +211,7 @@ class Automaton:
         whole = self.token.get(word)
         if whole is not None:
             return [whole]
-        if len(self.node) >= KEPT_STATES:
+        if len(self.node) >= self.kept_states:
             self._begin_states()
         state, found, path = 0, self.steps.get, []
         add = path.append
@@ -274,7 +275,7 @@ class Automaton:
         if ids is None:
             ids = ",".join(self._words(before + piece))
             if len(piece) <= KEPT_LENGTH:
-                if len(kept) >= KEPT_WORDS:
+                if len(kept) >= self.kept_words:
                     kept.clear()
                 kept[piece] = ids
         return ids
@@ -289,7 +290,7 @@ class Automaton:
         if ids is None:
             ids = ",".join(map(str, self.encode_word(word.encode())))
             if len(key) <= KEPT_LENGTH:
-                if len(kept) >= KEPT_WORDS:
+                if len(kept) >= self.kept_words:
                     kept.clear()
                 kept[key] = ids
         return ids
@@ -302,12 +303,12 @@ class Automaton:
         return b"".join(map(self.label_of_name.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def automaton(path: str, vocabulary: str) -> Automaton:
+def automaton(vocabulary: str, tables: float = 1.0) -> Automaton:
     """The automaton of the vocabulary, compiled once in a worker."""
     cache = worker_cache("bpe")
-    key = ("bpe", hashlib.sha256(vocabulary.encode()).digest())
+    key = (hashlib.sha256(vocabulary.encode()).digest(), tables)
     if key not in cache:
-        cache[key] = Automaton(vocabulary)
+        cache[key] = Automaton(vocabulary, tables)
     return cache[key]
 
 
@@ -317,11 +318,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True, tables: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of every whole text.
 
     ``vocabulary`` is a path on the driver; executors get its content as a broadcast (of a few MB,
-    whatever the input).  Every text is decoded again from its ids.
+    whatever the input).  Every text is decoded again from its ids.  ``tables``: see ``Automaton``; it changes memory and time, not results.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -330,7 +331,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, doc_id: str
         content = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(path, content.value)
+        machine = automaton(content.value, tables)
         for batch in batches:
             counts, digests, decoded, all_ids = [], [], [], []
             for value in batch.column(1):
