@@ -103,6 +103,81 @@ def test_work_grows_with_the_bytes_alone(name):
     assert any(f.kind == "png" for f in found) or found[0].start + found[0].length > 1000
 
 
+def false_ones(kind, n):
+    """``n`` signatures, from each of which a walk goes to the same ``n`` steps and fails behind them."""
+
+    def jumps(unit, steps):
+        return b"".join(unit(n - i - 1) for i in range(n)) + steps
+
+    if kind == "png":
+        return jumps(lambda left: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", 16 * left, b"IHDR"), b"\0" * 4 + b"\0\0\0\0abcd\0\0\0\0" * n)
+    if kind == "gif":
+        return (b"GIF89a" + bytes(7) + b"!\xf9\x0f") * n
+    if kind in ("wav", "webp"):
+        form = {"wav": b"WAVEJUNK", "webp": b"WEBPVP8 "}[kind]
+        return jumps(lambda left: struct.pack("<4sI8sI", b"RIFF", 20 * left + 12 + 8 * n + 20, form, 20 * left), b"JUNK\0\0\0\0" * n + b"JUNK\x64\0\0\0" + bytes(100))
+    if kind == "zip":
+        return b"PK\x03\x04" * n + (b"PK\x05\x06" + bytes(8) + b"\x01\0\0\0" + bytes(6)) * n
+    if kind == "gzip":
+        return jumps(lambda left: b"\x1f\x8b\x08" + bytes(8) + struct.pack("<HH", 15 * left % 65536, 65535 - 15 * left % 65536), b"\0\0\0\xff\xff" * n + b"\xff")
+    if kind == "flac":
+        return jumps(lambda left: b"fLaC\0\0\0\x22" + bytes(34) + b"\x01" + (46 * left).to_bytes(3, "big"), b"\x01\0\0\0" * n + b"\x80\0\0\0ab")
+    if kind == "ogg":
+        return (b"OggS\0\0" + bytes(21)) * 2 * n + b"OggS\0\0" + bytes(20) + b"\xff" * 256
+    if kind == "mp4":
+        return jumps(lambda left: struct.pack(">I4sI4s", 8, b"ftyp", 16 * left + 8, b"wide"), struct.pack(">I4s", 8, b"wide") * n + b"\0\0\0\0")
+    raise KeyError(kind)
+
+
+WEBP = b"RIFF" + struct.pack("<I", 14) + b"WEBPVP8 \2\0\0\0ab"
+BEHIND = {"png": PNG, "gif": GIF, "wav": WAV, "webp": WEBP, "zip": zipped(), "gzip": GZIP, "flac": FLAC, "ogg": OGG, "mp4": MP4}
+
+
+@pytest.mark.parametrize("kind", BEHIND)
+def test_an_object_behind_false_ones_that_share_their_way(kind):
+    """None is refused for the work of those before it, and that work doesn't grow by the square."""
+    false = false_ones(kind, 3000) + bytes(70)
+    assert M.sniff(false + BEHIND[kind]) == [M.Found(kind, len(false), len(BEHIND[kind]))]
+    if kind != "gzip":
+        data = false_ones(kind, 40_000)
+        began = time.process_time()
+        assert M.sniff(data) == []
+        assert time.process_time() - began < 10
+
+
+def test_gzip_heads():
+    body = GZIP[10:]
+    for flags, more in ((4, b"\3\0abc"), (8, b"name\0"), (24, b"name" * 3000 + b"\0note\0"), (1, b"")):
+        head = b"\x1f\x8b\x08" + bytes([flags]) + bytes(6) + more
+        summed = head[:3] + bytes([flags | 2]) + head[4:]
+        for one in (head, summed + struct.pack("<H", zlib.crc32(summed) & 0xFFFF)):
+            assert M.sniff(b"." + one + body + b"tail") == [M.Found("gzip", 1, len(one + body))]
+        assert M.sniff(summed + b"ab" + body) == M.sniff(head + body[:-1]) == M.sniff(head + body[:-8] + bytes(8)) == []
+
+
+def test_sums_of_ranges(monkeypatch):
+    monkeypatch.setattr(M, "PLAIN_SUM", 8)
+    monkeypatch.setattr(M, "SUM_STEP", 16)
+    rng = random.Random(8)
+    for n in (0, 9, 64, 1000, 100_000):
+        data = rng.randbytes(n)
+        s = M.Scan(data)
+        for _ in range(40):
+            a, b = sorted((rng.randrange(n + 1), rng.randrange(n + 1)))
+            assert s.crc(a, b) == zlib.crc32(data[a:b])
+
+
+def test_long_riff_forms():
+    """Beyond the chunks that are walked one by one: fmt and data at either end, none, and an end inside a chunk."""
+    one = lambda kind, body=b"": kind + struct.pack("<I", len(body)) + body
+    junk = one(b"JUNK") * 500
+    for chunks, good in ((one(b"fmt ") + junk + one(b"data"), True), (junk + one(b"data") + one(b"fmt "), True), (one(b"data") + junk, False), (junk, False)):
+        for cut in (0, 4):
+            body = b"WAVE" + chunks + one(b"JUNK", b"12345678" if cut else b"")
+            data = b"RIFF" + struct.pack("<I", len(body) - cut) + body + one(b"fmt ") + one(b"data")
+            assert M.sniff(data) == ([M.Found("wav", 0, 8 + len(body))] if good and not cut else [])
+
+
 def plain_jpeg(d, at):
     """The JPEG at ``at``, walked alone, or None."""
     p, frame = at + 2, False
