@@ -1,14 +1,16 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. A text's shingles are hashed (XXH64).  Texts of one set are one node from here on.
-2. Candidates: of a set BANDS independent fingerprints are made, each of BAND_ROWS MinHash values.
-   Sets of similarity s share one fingerprint with probability s ** BAND_ROWS, and one or more
-   of all with 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.99995 at 0.8.  SimHash bits can't be used for the search:
-   at 0.8 they differ in some 10 of 64, where no index of Hamming distances prunes.
+2. Candidates: the search is op3's, its Gray-order index under masked patterns.  The index takes the
+   SimHash fingerprint of a text's shingles, as op3 makes it, and FAMILIES independent fingerprints of a set,
+   each of DIGITS digits that come from one MinHash value each.  At a similarity of 0.8 SimHash bits differ in some 10 of 64,
+   which no index prunes; digits differ as often as the sets do.  Sets of similarity s share
+   a digit with probability s, and are linked in a family if RADIUS or fewer of its digits differ: 0.74 at 0.8, and in one
+   or more of all families 0.99998.  What the index links in a node, and all sets of one fingerprint, are a bucket.
 3. Confirmation: the exact similarity of the candidates' sets.  First each set of a bucket meets the
    bucket's centre, the one that meets most sets in all buckets; then what these links don't join meets the rest of its
-   bucket, in blocks, and no pair becomes a row.  One byte of each of the MinHash values is compared first there: at a similarity of 0.8
-   fewer than LEAST_ALIKE of them agree once in 60,000 times.  So any two sets of a bucket were compared or are in one class already.
+   bucket, in blocks, and no pair becomes a row.  The fingerprints are compared first there: at a similarity of 0.8
+   fewer than LEAST_ALIKE of all digits agree once in 150,000 times.  So any two sets that the index links were compared or are in one class already.
 
 Components of the confirmed links are the classes; of each the smallest document stays.
 The same cases as in ``simhash`` hold: null texts count as empty, fewer words than a shingle make
@@ -29,26 +31,31 @@ from pyspark.sql.types import ArrayType, LongType
 
 from cellarium.llm.common import bounded_batches, discard, if_small, join_by_key, without, worker_cache, written
 from cellarium.llm.components import stars
-from cellarium.llm.simhash import SEED, _word_blocks
+from cellarium.llm.simhash import RADIUS, SEED, _word_blocks, family_links, majority
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 25
-BAND_ROWS = 5
-#: MinHash values (of BANDS * BAND_ROWS) that must agree, 4.5 deviations below what 0.8 makes of them.
-LEAST_ALIKE = 80
+#: Fingerprints of MinHash digits; 9 digits of 7 bits fill one, and make three masks of three.
+FAMILIES = 8
+DIGITS = 9
+DIGIT_BITS = 7
+#: Bits in a digit of each family of the index; the last one is SimHash.
+WIDTHS = (DIGIT_BITS,) * FAMILIES + (1,)
+#: MinHash digits (of FAMILIES * DIGITS) that must agree, 4.6 deviations below what 0.8 makes of them.
+LEAST_ALIKE = 42
 #: Sets in a block of a bucket.
 BLOCK = 2048
 #: Shingles that are permuted at once.
 HASH_BLOCK = 4096
 
 _DRAW = np.random.default_rng(SEED)
-_XOR = _DRAW.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), dtype=np.uint64)
-_ODD = _DRAW.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), dtype=np.uint64) | np.uint64(1)
+_XOR = _DRAW.integers(0, 1 << 64, (FAMILIES * DIGITS, 1), dtype=np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = _DRAW.integers(0, 1 << 64, (FAMILIES * DIGITS, 1), dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of the text's shingles, in order."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The hashes of the text's shingles, repeats included."""
     found, held = [], []
     for words in _word_blocks((text or "").encode()):
         held += words
@@ -58,16 +65,27 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
         held = held[len(held) - size + 1 :] if size > 1 else []
     if not found and held:
         found = [xxhash.xxh64_intdigest(b" ".join(held), SEED)]
-    return np.unique(np.array(found, dtype=np.uint64))
+    return np.array(found, dtype=np.uint64)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's shingles, in order."""
+    return np.unique(shingle_hashes(text, size))
 
 
-def band_keys(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """The fingerprints of a set of shingles, one for each band, and a byte of each MinHash value."""
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+def minhash_digits(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of shingles FAMILIES rows of DIGITS digits, each from a MinHash value of its own."""
+    least = np.full(FAMILIES * DIGITS, ~np.uint64(0))
     for i in range(0, len(hashes), HASH_BLOCK):
         least = np.minimum(least, ((hashes[i : i + HASH_BLOCK] ^ _XOR) * _ODD).min(axis=1))
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return keys, (least >> np.uint64(56)).astype(np.uint8).tobytes()
+    # The least of many values has few high bits: they are spread first.
+    return (least * _SPREAD >> np.uint64(64 - DIGIT_BITS)).astype(np.uint8).reshape(FAMILIES, DIGITS)
+
+
+def family_fingerprints(digits: np.ndarray, simhash: int) -> np.ndarray:
+    """The fingerprints of all families, by WIDTHS."""
+    made = (digits.astype(np.uint64) << np.arange(0, DIGITS * DIGIT_BITS, DIGIT_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return np.append(made, np.uint64(simhash))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -83,12 +101,14 @@ def _signed(values: list[int]) -> np.ndarray:
 def _nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     worker_cache("near")
     for batch in batches:
-        sets = [shingles(t.as_py(), size) for t in batch.column(2)]
-        node = _signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets])
-        made = [band_keys(s) for s in sets]
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(_signed([k for keys, _ in made for k in keys])))
-        sketch = pa.array([x for _, x in made], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), bands, sketch], ["doc_id", "key", "node", "bands", "sketch"])
+        hashes = [shingle_hashes(t.as_py(), size) for t in batch.column(2)]
+        sets = [np.unique(h) for h in hashes]
+        node = _signed([xxhash.xxh64_intdigest(x.tobytes()) for x in sets])
+        digits, simhash = [minhash_digits(x) for x in sets], [majority(h) for h in hashes]
+        marks = np.concatenate([np.empty(0, np.uint64), *map(family_fingerprints, digits, simhash)]).view(np.int64)
+        marks = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(WIDTHS)), pa.array(marks))
+        sketch = pa.array([x.tobytes() + y.to_bytes(8, "big") for x, y in zip(digits, simhash, strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), marks, sketch], ["doc_id", "key", "node", "marks", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -125,8 +145,14 @@ def _confirm(pairs: DataFrame, source: DataFrame, first: DataFrame, size: int, l
 
 
 def near_links(nodes: DataFrame, source: DataFrame, first: DataFrame, size: int, least: float) -> DataFrame:
-    """(u, v): confirmed links that join all classes of ``nodes`` (node, bands, sketch)."""
-    entries = written(nodes.select("node", F.posexplode("bands").alias("band", "bucket")), "bands")
+    """(u, v): confirmed links that join all classes of ``nodes`` (node, marks, sketch)."""
+    marks = written(nodes.select("node", F.posexplode("marks").alias("family", "fp")), "marks")
+    # Of a fingerprint its own bucket, and those of the centres that the index links it to.
+    linked = family_links(marks.select("family", "fp").distinct(), WIDTHS)
+    centres = written(linked.select(F.xxhash64(F.col("family").cast("int"), "u").alias("own"), F.xxhash64(F.col("family").cast("int"), "v").alias("bucket")).distinct(), "centres")
+    marks = marks.select("node", F.col("family").alias("band"), F.xxhash64("family", "fp").alias("own"))
+    entries = marks.select("node", "band", F.col("own").alias("bucket")).unionByName(join_by_key(marks, centres, "own", marks.count()).select("node", "band", "bucket"))
+    entries = written(entries, "bands")
     met = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("count")).filter("count > 1"), "buckets")
     total = met.agg(F.sum("count")).first()[0] or 0
     members = written(join_by_key(entries, met.withColumnRenamed("count", "n"), "bucket", total, met), "bucket-members")
@@ -187,23 +213,25 @@ def _block_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa
 def _links_in_block(parts: list[pa.RecordBatch], least: float) -> pa.RecordBatch:
     """Links between the asking rows of a block and the others: as many as join what is alike.
 
-    A pair is looked at where its first common band is, and only if its sketches leave room for the similarity.
+    A pair is looked at in the first family that links it, and only if its sketches leave room for the similarity.
     """
     found: list[tuple[int, int]] = []
     if parts:
         rows = pa.Table.from_batches(parts)
         asks, node, kind, band = (rows.column(c).to_numpy().copy() for c in ("asks", "node", "class", "band"))
         asked = rows.column("asked").to_numpy(zero_copy_only=False).astype(bool)
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BANDS, BAND_ROWS)
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        digits, simhash = sketch[:, :-8].reshape(-1, FAMILIES, DIGITS), sketch[:, -8:].copy().view(np.uint64)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("hashes").to_pylist()]
         there = np.flatnonzero(asks == 0)
         for i in np.flatnonzero(asks == 1):
             # Two that both ask meet twice: once is enough.
             near = there[(kind[there] != kind[i]) & (~asked[there] | (node[there] < node[i]))]
-            same = sketch[near] == sketch[i]
-            enough = same.sum(axis=(1, 2)) >= LEAST_ALIKE
+            same = (digits[near] == digits[i]).sum(axis=2)
+            enough = same.sum(axis=1) >= LEAST_ALIKE
             near, same = near[enough], same[enough]
-            near = near[same.all(axis=2).argmax(axis=1) == band[i]]
+            linked = np.hstack([same >= DIGITS - RADIUS, np.bitwise_count(simhash[near] ^ simhash[i]) <= RADIUS])
+            near = near[linked[:, band[i]] & (linked.argmax(axis=1) == band[i])]
             for j in near[_alike(sets[i], [sets[j] for j in near], least)].tolist():
                 if kind[j] != kind[i]:
                     found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
@@ -228,12 +256,12 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
     """doc_id, key (a hash of the text), component_id and kept (the smallest document of its class) of every row."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("_text"))
-    schema = source.drop("_text").schema.add("node", "long").add("bands", ArrayType(LongType())).add("sketch", "binary")
+    schema = source.drop("_text").schema.add("node", "long").add("marks", ArrayType(LongType())).add("sketch", "binary")
     rows = written(source.mapInArrow(partial(_nodes, size=size), schema), "shingle-nodes")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
-    distinct = written(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "distinct-sets")
+    distinct = written(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("marks").alias("marks"), F.first("sketch").alias("sketch")), "distinct-sets")
     holder = distinct.select("node", F.col("first.doc_id").alias("_d"), F.col("first.key").alias("_k"))
-    joined = stars(near_links(distinct.select("node", "bands", "sketch"), source, holder, size, least))
+    joined = stars(near_links(distinct.select("node", "marks", "sketch"), source, holder, size, least))
     placed = distinct.join(joined, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     best = placed.groupBy("root").agg(F.min("first").alias("best"))
     classes = written(placed.join(best, "root").select("node", "best"), "near-classes")

@@ -19,6 +19,9 @@ Links (RADIUS or fewer differing bits) are found between distinct fingerprints:
 A node reports a spanning star for each set that its links join, not all pairs.
 Components of the reports are the classes.  Only counts reach the driver.
 
+The index also takes several families of fingerprints at once, and fingerprints of digits of some bits: what
+differs is counted in digits then, and masks are made of whole digits.
+
 Cases: null texts count as empty; texts without words have fingerprint 0 and are linked
 like any other; fewer words than a shingle make one shingle; a null doc_id is
 greater than any other; rows repeated in full are one document and stay or go together;
@@ -93,6 +96,15 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already (XXH64, as numbers, repeats included); see ``fingerprint``."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), WORD_BLOCK):
+        bits = np.unpackbits(hashes[i : i + WORD_BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        counts += np.add.reduce(bits, axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key (a hash of the text) and fp of every row, written once."""
     bounded_batches(docs.sparkSession)
@@ -118,15 +130,33 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def split_mask(open_bits: int, parts: int) -> list[int]:
-    """``open_bits`` dealt to ``parts`` masks of nearly equal size."""
-    places = [i for i in range(64) if open_bits >> i & 1]
-    return [sum(1 << p for p in places[k::parts]) for k in range(parts)]
+def digits(width: int) -> list[int]:
+    """The masks of a fingerprint's digits of ``width`` bits; what is left at the top isn't used."""
+    return [(1 << width) - 1 << i for i in range(0, 64 - width + 1, width)]
+
+
+def split_mask(open_bits: int, parts: int, width: int = 1) -> list[int]:
+    """``open_bits`` dealt by digits to ``parts`` masks of nearly equal size."""
+    places = [d for d in digits(width) if open_bits & d]
+    return [sum(places[k::parts]) for k in range(parts)]
 
 
-def links_of_node(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def differing(diff: np.ndarray, width: int) -> np.ndarray:
+    """How many digits of ``width`` bits have a bit set."""
+    if width == 1:
+        return np.bitwise_count(diff)
+    out = np.zeros(diff.shape, dtype=np.uint8)
+    for d in digits(width):
+        out += (diff & np.uint64(d)) != 0
+    return out
+
+
+def links_of_node(fps: np.ndarray, radius: int, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars, as positions (member, centre), of the links between distinct fingerprints in Gray order."""
     n = len(fps)
+    if n == 2:
+        some = np.flatnonzero(differing(fps[1:] ^ fps[:1], width) <= radius)
+        return some + 1, some
     # From the leaves up: per level the bits that a node's members share, and their values.
     shared, value = [np.full(n, ~np.uint64(0))], [fps]
     while len(value[-1]) > 1:
@@ -140,12 +170,12 @@ def links_of_node(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     for begin in range(0, n, 256):
         query = np.arange(begin, min(n, begin + 256))
         node = np.zeros(len(query), dtype=np.int64)
-        apart = np.zeros(len(query), dtype=np.int64)
+        apart = np.zeros(len(query), dtype=np.uint64)
         above = np.zeros(len(query), dtype=np.uint64)
         for level in range(len(value) - 1, -1, -1):
             own = shared[level][node] & ~above
-            apart = apart + np.bitwise_count((fps[query] ^ value[level][node]) & own)
-            near = apart <= radius
+            apart = apart | (fps[query] ^ value[level][node]) & own
+            near = differing(apart, width) <= radius
             query, node, apart = query[near], node[near], apart[near]
             if level == 0:
                 break
@@ -154,8 +184,8 @@ def links_of_node(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
             children = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             query, apart, above = np.repeat(query, FANOUT), np.repeat(apart, FANOUT), np.repeat(above, FANOUT)
             # Links go one way: to fingerprints further on.  Nodes that end before the query are dropped.
-            width = FANOUT ** (level - 1)
-            inside = (children < below) & ((children + 1) * width > query)
+            reach = FANOUT ** (level - 1)
+            inside = (children < below) & ((children + 1) * reach > query)
             query, node, apart, above = query[inside], children[inside], apart[inside], above[inside]
         pairs = node > query
         a, b = query[pairs], node[pairs]
@@ -173,21 +203,21 @@ def links_of_node(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return member, label[member]
 
 
-def _node_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (path, pattern, fp) in the order of node and Gray rank: a node is a run of rows, and may span batches."""
-    names = ["u", "v"]
+def _node_links(batches: Iterator[pa.RecordBatch], radius: int, widths: tuple[int, ...], below: int) -> Iterator[pa.RecordBatch]:
+    """Rows (path, pattern, fp) in the order of node and Gray rank: a node is a run of rows, and may span batches.  Each family has ``below`` paths."""
+    names = ["family", "u", "v"]
     held: np.ndarray | None = None
     held_key = None
 
     def done(fps: np.ndarray | None, out: list[np.ndarray]) -> None:
         if fps is not None and len(fps) > 1:
-            member, centre = links_of_node(fps.view(np.uint64), radius)
+            family = int(held_key[0]) // below
+            member, centre = links_of_node(fps.view(np.uint64), radius, widths[family])
             if len(member):
-                out += [fps[member], fps[centre]]
+                out += [np.full(len(member), family, dtype=np.int64), fps[member], fps[centre]]
 
     def made(out: list[np.ndarray]) -> pa.RecordBatch:
-        u, v = (np.concatenate(out[i::2]) if out else np.empty(0, np.int64) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[i::3]) if out else np.empty(0, np.int64)) for i in range(3)], names)
 
     for batch in batches:
         path, pattern, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -211,35 +241,43 @@ def _node_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
 
 def links(fps: DataFrame, radius: int = RADIUS, limit: int = NODE_LIMIT) -> DataFrame:
     """(u, v) between distinct fingerprints ``fp``: stars that span what the links join."""
-    everything = (1 << 64) - 1
-    #: Nodes' paths with the bits that are fixed so far.
-    level = dict(enumerate(split_mask(everything, radius + 1)))
-    rows = fps.select("fp", F.lit(-1).cast("long").alias("parent"))
-    out = None
+    return family_links(fps.select(F.lit(0).alias("family"), "fp"), (1,), radius, limit).select("u", "v")
+
+
+def family_links(fps: DataFrame, widths: tuple[int, ...], radius: int = RADIUS, limit: int = NODE_LIMIT) -> DataFrame:
+    """(family, u, v) between distinct fingerprints ``fp`` of one ``family``, whose digits have ``widths[family]`` bits: stars that span what the links join."""
+    step = radius + 1
+    #: Nodes' paths with the bits that are fixed so far; a family is the path of its root.
+    level = dict.fromkeys(range(len(widths)), 0)
+    rows = fps.select("fp", F.col("family").cast("long").alias("parent"))
+    out, below = None, 1
     while True:
         # The masks of a parent's children, looked up by the parent: a row goes to its own parent's children only.
-        children: dict[int, list[tuple[int, int]]] = {}
-        for path, mask in level.items():
-            children.setdefault(path // (radius + 1) if len(level) > radius + 1 else -1, []).append((path, mask))
+        children, open_bits = {}, {}
+        for parent, fixed in level.items():
+            width = widths[parent // below]
+            free = sum(digits(width)) & ~fixed
+            children[parent] = [(parent * step + k, fixed | part) for k, part in enumerate(split_mask(free, step, width))]
+            open_bits |= {path: (sum(digits(width)) & ~mask).bit_count() for path, mask in children[parent]}
+        below *= step
         masks = F.create_map(*[x for p, c in children.items() for x in (F.lit(p).cast("long"), F.array(*[F.struct(F.lit(k).cast("long").alias("path"), F.lit(_signed(m)).alias("mask")) for k, m in c]))])
         nodes = rows.select("fp", F.explode(masks[F.col("parent")]).alias("n"))
         entries = nodes.select("n.path", F.col("fp").bitwiseAND(F.col("n.mask")).alias("pattern"), "fp")
         sizes = written(entries.groupBy("path", "pattern").count().filter("count > 1"), "node-sizes")
         total = sizes.agg(F.sum("count")).first()[0] or 0
         entries = written(join_by_key(entries, sizes.withColumnRenamed("count", "size"), ["path", "pattern"], total, sizes), "nodes")
-        last = min((everything & ~mask).bit_count() for mask in level.values()) <= OPEN_BITS
-        leaves = entries if last else entries.filter(F.col("size") <= limit)
-        dealt = leaves.select("path", "pattern", "fp", gray_rank(F.col("fp")).alias("rank")).repartition("path", "pattern")
+        # So few open bits, or no more digits than may differ: such nodes aren't split.
+        more = [path for path, bits in open_bits.items() if bits > max(OPEN_BITS, radius * widths[path // below])]
+        split = (F.col("size") > limit) & F.col("path").isin(more) if more else F.lit(False)
+        dealt = entries.filter(~split).select("path", "pattern", "fp", gray_rank(F.col("fp")).alias("rank")).repartition("path", "pattern")
         ordered = dealt.sortWithinPartitions("path", "pattern", "rank").select("path", "pattern", "fp")
-        found = written(ordered.mapInArrow(partial(_node_links, radius=radius), "u bigint, v bigint"), "links")
+        found = written(ordered.mapInArrow(partial(_node_links, radius=radius, widths=tuple(widths), below=below), "family bigint, u bigint, v bigint"), "links")
         out = found if out is None else out.unionByName(found)
-        if last:
-            return out
-        big = entries.filter(F.col("size") > limit)
-        if big.isEmpty():
+        big = entries.filter(split)
+        if not more or big.isEmpty():
             return out
         rows = big.select("fp", F.col("path").alias("parent"))
-        level = {path * (radius + 1) + k: mask | part for path, mask in level.items() for k, part in enumerate(split_mask(everything & ~mask, radius + 1))}
+        level = {path: mask for c in children.values() for path, mask in c if path in set(more)}
 
 
 def near_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

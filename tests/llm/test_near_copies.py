@@ -78,3 +78,21 @@ def test_pipeline_drops_what_the_fingerprint_of_op3_misses(spark):
     assert 0.8 <= alike(shingle_set(" ".join(words)), shingle_set(" ".join(copy))) < 0.9
     df = spark.createDataFrame([(1, " ".join(words), "", ""), (2, " ".join(copy), "", "")], SCHEMA)
     assert [r.doc_id for r in P.drop_near_copies(spark, df, "").collect()] == [1]
+
+
+def test_candidates_come_from_the_index_of_op3(spark, monkeypatch):
+    """Without the links of the Gray index only texts of one fingerprint would meet: a pair that shares none is found through it alone."""
+    r = random.Random(9)
+    for _ in range(2000):
+        words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        copy = ["x" if i in (20, 40) else w for i, w in enumerate(words)]
+        marks = [N.minhash_digits(N.shingles(" ".join(t))) for t in (words, copy)]
+        apart = (marks[0] != marks[1]).sum(axis=1)
+        if apart.min() in (1, 2):
+            break
+    assert alike(shingle_set(" ".join(words)), shingle_set(" ".join(copy))) < 0.8 <= 1
+    df = spark.createDataFrame([(1, " ".join(words), "", ""), (2, " ".join(copy), "", "")], SCHEMA)
+    least = 0.6
+    assert [x.component_id for x in N.near_classes(df, least=least).collect()] == [1, 1]
+    monkeypatch.setattr(N, "family_links", lambda fps, widths: N.F.broadcast(fps.select("family", N.F.col("fp").alias("u"), N.F.col("fp").alias("v"))).filter("false"))
+    assert sorted(x.component_id for x in N.near_classes(df, least=least).collect()) == [1, 2]

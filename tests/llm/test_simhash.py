@@ -117,3 +117,57 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(200, 100), (300, 200), (7, 7)]
     out = {r.node: r.root for r in stars(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {i: 0 for i in range(1, 61)} | {200: 100, 300: 100}
+
+
+def digit_classes(fps, width, radius=2):
+    apart = lambda a, b: sum(((a ^ b) >> i & (1 << width) - 1) > 0 for i in range(0, 64 - width + 1, width))
+    label, changed = list(range(len(fps))), True
+    while changed:
+        changed = False
+        for i in range(len(fps)):
+            for j in range(len(fps)):
+                if label[j] < label[i] and apart(fps[i], fps[j]) <= radius:
+                    label[i], changed = label[j], True
+    return label
+
+
+def digit_cluster(n, seed):
+    """Fingerprints of nine digits, some of which were drawn anew, in Gray order."""
+    g = np.random.default_rng(seed)
+    base = g.integers(0, 128, (n // 6 + 1, 9), dtype=np.uint64)
+    x = np.where(g.random((n, 9)) < 0.25, g.integers(0, 128, (n, 9), dtype=np.uint64), base[g.integers(0, len(base), n)])
+    x = np.unique((x << np.arange(0, 63, 7, dtype=np.uint64)).sum(axis=1, dtype=np.uint64))
+    rank = x.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(s)
+    return x[np.argsort(rank)]
+
+
+@pytest.mark.parametrize("n", [2, 9, 65, 300])
+def test_index_search_by_digits(n):
+    x = digit_cluster(n, n)
+    member, centre = H.links_of_node(x, 2, 7)
+    got = list(range(len(x)))
+    for a, b in zip(member.tolist(), centre.tolist(), strict=True):
+        got[a] = b
+    assert got == digit_classes([int(v) for v in x], 7)
+
+
+@pytest.mark.parametrize("limit", [2, 2048])
+def test_families_through_split_nodes(spark, limit):
+    families = [digit_cluster(150, 3), cluster(150, 4), digit_cluster(90, 5)]
+    widths = (7, 1, 7)
+    rows = [(k, int(v)) for k, x in enumerate(families) for v in x.view(np.int64)]
+    links = H.family_links(spark.createDataFrame(rows, "family int, fp long"), widths, 2, limit).collect()
+    for k, x in enumerate(families):
+        fps = sorted(int(v) for v in x.view(np.int64))
+        joined = {r.node: r.root for r in stars(spark.createDataFrame([(r.u, r.v) for r in links if r.family == k], "u long, v long")).collect()}
+        want = digit_classes([v % (1 << 64) for v in fps], widths[k])
+        assert [joined.get(v, v) for v in fps] == [fps[i] for i in want]
+
+
+def test_majority_is_the_fingerprint():
+    from cellarium.llm.near_copies import shingle_hashes
+
+    for t in texts():
+        assert H.majority(shingle_hashes(t)) == slow_fingerprint(t, 5)
